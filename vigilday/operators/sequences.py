@@ -193,3 +193,24 @@ def day_score(steps: DataFrame, agg: str = "mean", keys: Sequence[str] = KEYS) -
         taken = first.withColumn("_k", F.least(F.col("n"), left))
         return taken.groupBy(*keys).agg((F.sum(F.col("nll") * F.col("_k")) / F.sum("_k")).alias("s_s"))
     raise ValueError(f"unknown aggregation {agg}")
+
+
+def seeded_scores(seq: DataFrame, model: CountModel, ratio: float, seeds: Sequence[int], **bounds) -> DataFrame:
+    """Mean surprise of the masked places under each seed: seed, user_id, day, s_s.
+
+    The seeds are columns while steps are counted and looked up, so the tokens are
+    read once however many seeds there are.
+    """
+    context = sorted({c for names in model.contexts for c in names})
+    masks = {f"_m{i}": F.count_if(sampled(ratio, F.lit(i), "user_id", "day", "pos")) for i in seeds}
+    counted = seq.groupBy(*KEYS, *context, "token").agg(*[c.alias(n) for n, c in masks.items()])
+    steps = surprise(counted, model, **bounds)
+    per_day = steps.groupBy(*KEYS).agg(*[
+        F.try_divide(F.sum(F.col("nll") * F.col(m)), F.sum(m)).alias(m) for m in masks
+    ])
+    rows = F.array(*[F.struct(F.lit(i).alias("seed"), F.col(f"_m{i}").alias("s_s")) for i in seeds])
+    return (
+        per_day.select(*KEYS, F.explode(rows).alias("_r"))
+        .select("_r.seed", *KEYS, "_r.s_s")
+        .filter("s_s is not null")
+    )
