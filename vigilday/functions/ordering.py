@@ -28,6 +28,7 @@ def running_sums(
     totals: bool = False,
     max_group: int = MAX_GROUP,
     slices: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add, per name in ``sums``, the sum over the group's rows up to this one.
 
@@ -36,10 +37,11 @@ def running_sums(
     ``max_group`` rows an ordinary window does it. Otherwise the frame is cut
     into slices by range of (keys, order), which splits a large group; the cut
     is stored, because a recomputed cut could fall elsewhere; each slice is
-    summed by itself and the sums of the slices before it are added.
+    summed by itself and the sums of the slices before it are added. ``largest``
+    saves the count of the groups when it is known.
     """
     keys = list(keys)
-    if largest_group(df, keys) <= max_group:
+    if (largest_group(df, keys) if largest is None else largest) <= max_group:
         group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = df.withColumns({name: F.sum(expr).over(upto) for name, expr in sums.items()})
@@ -79,9 +81,11 @@ def positions(
     name: str = "pos",
     totals: bool = False,
     max_group: int = MAX_GROUP,
+    slices: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 1 in ``order``."""
-    return running_sums(df, keys, order, {name: F.lit(1)}, totals, max_group)
+    return running_sums(df, keys, order, {name: F.lit(1)}, totals, max_group, slices, largest)
 
 
 def top_rows(

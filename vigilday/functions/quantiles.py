@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilday.functions.ordering import MAX_GROUP, running_sums
+from vigilday.functions.storage import stored
 
 
 def exact_quantile(
@@ -18,14 +19,14 @@ def exact_quantile(
     name: str = "q",
     max_group: int = MAX_GROUP,
 ) -> DataFrame:
-    """Per group the exact ``p``-quantile of ``value``, its row count and user of it.
+    """Per group the exact ``p``-quantile of ``value`` and, as ``n_<name>``, how many values there are.
 
     Equal values are counted together before any shuffle, the counts are summed
     in value order, and the two values around position ``p * (n - 1)`` are
     interpolated, so a group of any size is never held in one task.
     """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stored(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     upto = running_sums(counts, keys, [F.col(value)], {"_upto": F.col("_n")}, totals=True, max_group=max_group)
     place = F.lit(float(p)) * (F.col("_upto_total") - 1)
     around = upto.groupBy(*keys).agg(

@@ -27,9 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written copy."""
+    """Write ``df`` once to the shared folder and go on from the written copy.
+
+    Used where a result is read several times, or must not be recomputed
+    differently. A frame that is such a copy already is returned as it is.
+    """
+    if getattr(df, "_is_stored", False):
+        return df
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    copy = df.checkpoint(eager=True)
+    copy._is_stored = True
+    return copy
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vigilday.functions.joins import lookup_join
 
 KEYS = ["user_id", "day"]
+MAX_LIST = 5_000
 
 
 def count_features(events: DataFrame, actions: Sequence[str], by: str = "action") -> DataFrame:
@@ -45,16 +46,17 @@ def fit_list(train: DataFrame, item: str, top_n: int, min_users: int) -> DataFra
 
 
 def domain_list_features(web: DataFrame, domains: DataFrame, **bounds) -> DataFrame:
-    """Web events per user-day, and those whose host is on the list.
+    """Web events per user-day, those whose host is on the list, and how many such hosts.
 
-    Events are counted per host before the list is joined, so a host that half
-    the company visits is one row per user-day.
+    Hosts off the list become one NULL before anything is counted, so the
+    shuffle carries a row per user-day and listed host.
     """
-    hosts = web.groupBy(*KEYS, "host").agg(F.count(F.lit(1)).alias("_n"))
-    listed = domains.select("host").distinct().withColumn("_listed", F.lit(1))
-    return lookup_join(hosts, listed, ["host"], **bounds).groupBy(*KEYS).agg(
+    listed = domains.select("host").distinct().withColumn("_listed", F.col("host"))
+    marked = lookup_join(web.select(*KEYS, "host"), listed, ["host"], **bounds)
+    per_host = marked.groupBy(*KEYS, "_listed").agg(F.count(F.lit(1)).alias("_n"))
+    return per_host.groupBy(*KEYS).agg(
         F.sum("_n").alias("n_web"),
-        F.coalesce(F.sum(F.col("_n") * F.col("_listed")), F.lit(0)).alias("n_listed"),
+        F.coalesce(F.sum(F.when(F.col("_listed").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_listed"),
         F.count("_listed").alias("n_listed_hosts"),
     )
 
@@ -65,16 +67,35 @@ def words_of(text: Column) -> Column:
 
 
 def keyword_features(
-    texts: DataFrame, keywords: DataFrame, keys: Sequence[str] = KEYS, **bounds
+    texts: DataFrame, keywords: DataFrame, keys: Sequence[str] = KEYS, max_list: int = MAX_LIST, **bounds
 ) -> DataFrame:
-    """Words, listed words and different listed words in the whole texts of each key."""
-    listed = keywords.select("word").distinct().withColumn("_listed", F.lit(1))
-    words = texts.select(*keys, F.explode_outer(words_of(F.col("text"))).alias("word"))
-    counts = words.groupBy(*keys, "word").agg(F.count("word").alias("_n"))
-    return lookup_join(counts, listed, ["word"], **bounds).groupBy(*keys).agg(
-        F.sum("_n").alias("n_words"),
-        F.coalesce(F.sum(F.col("_n") * F.col("_listed")), F.lit(0)).alias("n_hits"),
-        F.count("_listed").alias("n_keywords"),
+    """Words, listed words and different listed words in the whole texts of each key.
+
+    A list of up to ``max_list`` words is tested inside the row, and only a
+    text's length and its listed words are shuffled. A longer list is joined.
+    """
+    words = words_of(F.col("text"))
+    listed = [r[0] for r in keywords.select("word").distinct().limit(max_list + 1).collect()]
+    if len(listed) <= max_list:
+        split = texts.select(*keys, F.coalesce(words, F.array().cast("array<string>")).alias("_words"))
+        hits = F.filter("_words", lambda w: w.isin(listed))
+        rows = F.concat(
+            F.array(F.struct(F.lit(None).cast("string").alias("word"), F.size("_words").alias("_all"), F.lit(0).alias("_hit"))),
+            F.transform(hits, lambda w: F.struct(w.alias("word"), F.lit(0).alias("_all"), F.lit(1).alias("_hit"))),
+        )
+        counts = (
+            split.select(*keys, F.explode(rows).alias("_r"))
+            .groupBy(*keys, F.col("_r.word").alias("_listed"))
+            .agg(F.sum("_r._all").alias("_all"), F.sum("_r._hit").alias("_hit"))
+        )
+    else:
+        each = texts.select(*keys, F.explode_outer(words).alias("word"))
+        known = keywords.select("word").distinct().withColumn("_listed", F.col("word"))
+        counts = lookup_join(each, known, ["word"], **bounds).groupBy(*keys, "_listed").agg(
+            F.count("word").alias("_all"), F.count("_listed").alias("_hit")
+        )
+    return counts.groupBy(*keys).agg(
+        F.sum("_all").alias("n_words"), F.sum("_hit").alias("n_hits"), F.count("_listed").alias("n_keywords")
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilday.functions.joins import lookup_join
 from vigilday.functions.ordering import MAX_GROUP, largest_group, running_sums
+from vigilday.functions.storage import stored
 
 
 def align(s_f: DataFrame, s_s: DataFrame, fill: float = 0.0) -> DataFrame:
@@ -29,7 +30,7 @@ def normalise_rank(scores: DataFrame, columns: Sequence[str], max_group: int = M
         )
     out = scores
     for c in columns:
-        counts = out.groupBy("day", c).agg(F.count(F.lit(1)).alias("_n"))
+        counts = stored(out.groupBy("day", c).agg(F.count(F.lit(1)).alias("_n")))
         upto = running_sums(counts, ["day"], [F.col(c)], {"_upto": F.col("_n")}, True, max_group)
         rank = F.when(F.col("_upto_total") == 1, 0.0).otherwise(
             (F.col("_upto") - F.col("_n")) / (F.col("_upto_total") - 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilday.functions.ordering import MAX_GROUP, positions, running_sums
+from vigilday.functions.storage import stored
 from vigilday.functions.windows import unit_hash
 
 # Cumulative probabilities of a Poisson(1) draw being at most 0, 1, 2 ... 7.
@@ -50,7 +51,7 @@ def pr_auc(
     over the steps are sliced by score, so no task holds a whole ranking.
     """
     w = F.lit(1) if weight is None else weight
-    steps = (
+    steps = stored(
         scores.filter(F.col(score).isNotNull())
         .groupBy(*by, score)
         .agg(F.sum(w).alias("_n"), F.sum(w * F.col(label)).alias("_t"))
@@ -72,7 +73,7 @@ def recall_at_k(
 ) -> DataFrame:
     """Share of the positives among the first ceil(k * n) rows by score, then ``keys``."""
     ranked = positions(
-        scores.filter(F.col(score).isNotNull()),
+        stored(scores.filter(F.col(score).isNotNull()).select(*by, *keys, score, label)),
         by, [F.desc(score), *[F.col(k) for k in keys]], "_pos", totals=True, max_group=max_group,
     )
     y = F.col(label) == 1
@@ -132,9 +133,9 @@ def bootstrap(
         .withColumn("_w", poisson_weight(F.lit(seed), F.col("user_id"), F.col("rep")))
         .filter("_w > 0")
     )
-    steps = drawn.groupBy("rep", score).agg(
+    steps = stored(drawn.groupBy("rep", score).agg(
         F.sum(F.col("_w") * F.col("_m")).alias("_n"), F.sum(F.col("_w") * F.col("_y")).alias("_t")
-    )
+    ))
     run = running_sums(
         steps, ["rep"], [F.desc(score)], {"_cn": F.col("_n"), "_ct": F.col("_t")}, totals=True, max_group=max_group
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vigilday.functions.joins import lookup_join
 from vigilday.functions.ordering import positions, top_rows
+from vigilday.functions.storage import stored
 from vigilday.functions.windows import unit_hash
 
 KEYS = ["user_id", "day"]
@@ -108,20 +109,35 @@ class CountModel:
     size: float
 
 
+def count_steps(
+    near: DataFrame, keys: Sequence[str] = KEYS, n: Column | None = None, name: str = "n"
+) -> DataFrame:
+    """How often each step (a token with its neighbours) occurs per key.
+
+    ``near`` is a result of :func:`neighbours`; its context columns are found by
+    name. ``n`` is a 0/1 mask of the places to count, all when left out. Models
+    are fitted on and looked up for these counts, so tokens are read once.
+    """
+    context = [c for c in near.columns if c.startswith(("prev", "next"))]
+    total = F.count(F.lit(1)) if n is None else F.sum(n.cast("bigint"))
+    counted = near.groupBy(*keys, *context, "token").agg(total.alias(name))
+    return counted if n is None else counted.filter(F.col(name) > 0)
+
+
 def fit_counts(
     train: DataFrame, contexts: Sequence[Sequence[str]], weights: Sequence[float], spare: int
 ) -> CountModel:
-    """Count tokens after each context in ``train`` (a result of :func:`neighbours`).
+    """Sum the train steps (:func:`count_steps`) by context.
 
     ``spare`` is added to the train vocabulary to leave room for unseen tokens.
     """
-    row = train.agg(F.count_distinct("token").alias("v"), F.count(F.lit(1)).alias("n")).first()
+    row = train.agg(F.count_distinct("token").alias("v"), F.sum("n").alias("n")).first()
     tables, totals = [], []
     for i, context in enumerate(contexts):
-        counted = train.groupBy(*context, "token").agg(F.count(F.lit(1)).alias(f"_n{i}"))
+        counted = stored(train.groupBy(*context, "token").agg(F.sum("n").alias(f"_n{i}")))
         tables.append(counted)
         totals.append(
-            counted.groupBy(*context).agg(F.sum(f"_n{i}").alias(f"_c{i}")) if context else float(row["n"])
+            counted.groupBy(*context).agg(F.sum(f"_n{i}").alias(f"_c{i}")) if context else float(row["n"] or 0)
         )
     return CountModel(
         tuple(tuple(c) for c in contexts), tuple(weights), tuple(tables), tuple(totals), float(row["v"] + spare)
@@ -142,9 +158,9 @@ def fit_cloze(train: DataFrame) -> CountModel:
     return fit_counts(train, [["prev1", "next1"]], [1.0], spare=0)
 
 
-def surprise(counted: DataFrame, model: CountModel, **bounds) -> DataFrame:
-    """Add ``nll``, minus the log of the model's probability, to rows with token and context."""
-    out, mixed = counted, F.lit(0.0)
+def nll(steps: DataFrame, model: CountModel, **bounds) -> DataFrame:
+    """Add ``nll``, minus the log of the model's probability, to counted steps."""
+    out, mixed = steps, F.lit(0.0)
     for i, (context, weight) in enumerate(zip(model.contexts, model.weights)):
         out = lookup_join(out, model.tables[i], [*context, "token"], **bounds)
         total = model.totals[i]
@@ -158,20 +174,6 @@ def surprise(counted: DataFrame, model: CountModel, **bounds) -> DataFrame:
     return out.withColumn("nll", -F.log(mixed)).drop(*helpers)
 
 
-def nll(
-    seq: DataFrame, model: CountModel, mask: Column | None = None, keys: Sequence[str] = KEYS, **bounds
-) -> DataFrame:
-    """Surprise of each kind of step in a day: keys, nll and ``n``, how often it occurs.
-
-    Equal steps are counted together before the model is looked up. ``mask``
-    selects the places that are scored.
-    """
-    rows = seq if mask is None else seq.filter(mask)
-    context = sorted({c for names in model.contexts for c in names})
-    counted = rows.groupBy(*keys, *context, "token").agg(F.count(F.lit(1)).alias("n"))
-    return surprise(counted, model, **bounds).select(*keys, "nll", "n")
-
-
 def sampled(ratio: float, *key: Column | str) -> Column:
     """Whether a place is masked: fixed by its user, day and position (and a seed)."""
     return unit_hash(*(key or ("user_id", "day", "pos"))) < ratio
@@ -195,17 +197,16 @@ def day_score(steps: DataFrame, agg: str = "mean", keys: Sequence[str] = KEYS) -
     raise ValueError(f"unknown aggregation {agg}")
 
 
-def seeded_scores(seq: DataFrame, model: CountModel, ratio: float, seeds: Sequence[int], **bounds) -> DataFrame:
+def seeded_scores(near: DataFrame, model: CountModel, ratio: float, seeds: Sequence[int], **bounds) -> DataFrame:
     """Mean surprise of the masked places under each seed: seed, user_id, day, s_s.
 
     The seeds are columns while steps are counted and looked up, so the tokens are
     read once however many seeds there are.
     """
-    context = sorted({c for names in model.contexts for c in names})
+    context = [c for c in near.columns if c.startswith(("prev", "next"))]
     masks = {f"_m{i}": F.count_if(sampled(ratio, F.lit(i), "user_id", "day", "pos")) for i in seeds}
-    counted = seq.groupBy(*KEYS, *context, "token").agg(*[c.alias(n) for n, c in masks.items()])
-    steps = surprise(counted, model, **bounds)
-    per_day = steps.groupBy(*KEYS).agg(*[
+    counted = near.groupBy(*KEYS, *context, "token").agg(*[c.alias(n) for n, c in masks.items()])
+    per_day = nll(counted, model, **bounds).groupBy(*KEYS).agg(*[
         F.try_divide(F.sum(F.col("nll") * F.col(m)), F.sum(m)).alias(m) for m in masks
     ])
     rows = F.array(*[F.struct(F.lit(i).alias("seed"), F.col(f"_m{i}").alias("s_s")) for i in seeds])

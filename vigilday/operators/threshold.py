@@ -7,12 +7,13 @@ are our readings. History is always strictly before the day it is used for.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilday.functions.joins import lookup_join
-from vigilday.functions.ordering import MAX_GROUP, largest_group, top_rows
+from vigilday.functions.ordering import MAX_GROUP, top_rows
 from vigilday.functions.quantiles import exact_quantile, sketch_quantile
 from vigilday.functions.windows import trailing
 
@@ -33,14 +34,18 @@ def quantile_threshold(
     return scores.withColumn("tau", F.when(F.count(score).over(w) >= min_hist, tau))
 
 
-def _covered_blocks(scores: DataFrame, refresh: int, days: int) -> DataFrame:
+def first_day(scores: DataFrame) -> date:
+    """The day the refresh blocks are counted from."""
+    return scores.agg(F.min("day")).first()[0]
+
+
+def _covered_blocks(scores: DataFrame, refresh: int, days: int, start: date) -> DataFrame:
     """Each row once per refresh block whose history window it lies in.
 
     Block k uses days ``[d0 + kR - days, d0 + kR - 1]``, so a row is in at most
     ``ceil(days / R)`` blocks, whatever its user or group.
     """
-    first = scores.agg(F.min("day")).first()[0]
-    since = F.datediff("day", F.lit(first))
+    since = F.datediff("day", F.lit(start))
     low = F.floor(since / refresh) + 1
     high = F.floor((since + days) / refresh)
     return (
@@ -52,29 +57,30 @@ def _covered_blocks(scores: DataFrame, refresh: int, days: int) -> DataFrame:
     )
 
 
-def _block_of(scores: DataFrame, refresh: int) -> DataFrame:
-    first = scores.agg(F.min("day")).first()[0]
-    return scores.withColumn("block", F.floor(F.datediff("day", F.lit(first)) / refresh).cast("int"))
+def _block_of(scores: DataFrame, refresh: int, start: date) -> DataFrame:
+    return scores.withColumn("block", F.floor(F.datediff("day", F.lit(start)) / refresh).cast("int"))
 
 
 def refreshed_threshold(
-    scores: DataFrame, score: str, p: float, days: int, refresh: int, min_hist: int = 1
+    scores: DataFrame, score: str, p: float, days: int, refresh: int, min_hist: int = 1,
+    start: date | None = None,
 ) -> DataFrame:
     """Add ``tau`` recomputed every ``refresh`` days and held in between, with its ``block``.
 
     One quantile per user and block, instead of one per user and day.
     """
-    history = _covered_blocks(scores.filter(F.col(score).isNotNull()), refresh, days)
+    start = start or first_day(scores)
+    history = _covered_blocks(scores.filter(F.col(score).isNotNull()), refresh, days, start)
     taus = (
         history.groupBy("user_id", "block")
         .agg(F.percentile(F.col(score), F.lit(float(p))).alias("tau"), F.count(F.lit(1)).alias("_h"))
         .filter(F.col("_h") >= min_hist)
         .drop("_h")
     )
-    return _block_of(scores, refresh).join(taus, ["user_id", "block"], "left")
+    return _block_of(scores, refresh, start).join(taus, ["user_id", "block"], "left")
 
 
-def threshold_series(with_tau: DataFrame, score_days: int) -> DataFrame:
+def threshold_series(with_tau: DataFrame) -> DataFrame:
     """The threshold of each user by the day it takes effect (start of its block)."""
     return (
         with_tau.groupBy("user_id", "block")
@@ -105,8 +111,9 @@ def cold_start_threshold(
     quantile = sketch_quantile if sketch else (
         lambda df, keys, value, p, name: exact_quantile(df, keys, value, p, name, max_group)
     )
-    own = refreshed_threshold(scores, score, p, days, refresh, min_hist).withColumnRenamed("tau", "tau_own")
-    history = _covered_blocks(scores.filter(F.col(score).isNotNull()), refresh, days)
+    start = first_day(scores)
+    own = refreshed_threshold(scores, score, p, days, refresh, min_hist, start).withColumnRenamed("tau", "tau_own")
+    history = _covered_blocks(scores.filter(F.col(score).isNotNull()), refresh, days, start)
     by_group = quantile(
         history.filter(F.col(group_key).isNotNull()), [group_key, "block"], score, p, "tau_group"
     )

@@ -61,13 +61,13 @@ def interim_by_month(spark, sf):
 )
 def processed_tables(spark, sf):
     path = new_table_path(spark, "processed")
-    labelled = st.labels(spark, sf)
+    labelled = stored(st.labels(spark, sf))
     tables.write_processed(
         path,
         x_f=features.count_features(st.events(spark, sf), st.ACTIONS),
         tokens=sequences.tokens(st.flagged(spark, sf)),
         labels=labelled.select("user_id", "day", "label", "scenario"),
-        split=split.split_ratio(labelled, st.SHARES, "day").select("user_id", "day", "split"),
+        split=split.split_at(labelled, *st.cuts(spark, sf)).select("user_id", "day", "split"),
     )
     keys = ["user_id", "day"]
     lengths = tables.read_processed(spark, path, "tokens").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tokens"))
@@ -280,7 +280,7 @@ _LABELLED = f"{q.BASE_LABELS}, ls AS (SELECT user_id, day, n_events, label, spli
 
 
 def _labelled_split(spark, sf):
-    return split.split_ratio(st.labels(spark, sf), st.SHARES, "day").select(
+    return split.split_at(st.labels(spark, sf), *st.cuts(spark, sf)).select(
         "user_id", "day", "n_events", "label", "split"
     )
 

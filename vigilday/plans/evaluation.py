@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from vigilday.functions.storage import stored
 from vigilday.operators import ablation, metrics, report, sequences, threshold, tune
 from vigilday.operators.fusion import fuse
-from vigilday.operators.split import split_ratio
 from vigilday.plans import sql as q
 from vigilday.plans import standins as st
 from vigilday.plans.registry import query, rounded
@@ -159,9 +158,9 @@ _SEEDED = " UNION ALL ".join(
 def seed_summary(spark, sf):
     """The masked order score under five mask seeds, evaluated after train."""
     near = sequences.neighbours(st.seq(spark, sf), back=1, ahead=1)
-    model = sequences.fit_cloze(near.filter("split = 'train'"))
-    scores = split_ratio(sequences.seeded_scores(near, model, MASK_RATIO, SEEDS), st.SHARES, "day")
-    later = scores.filter("split <> 'train'").withColumn("s_s", F.round("s_s", 9))
+    model = sequences.fit_cloze(sequences.count_steps(near.filter("split = 'train'"), []))
+    scores = sequences.seeded_scores(near.filter("split <> 'train'"), model, MASK_RATIO, SEEDS)
+    later = scores.withColumn("s_s", F.round("s_s", 9))
     labelled = stored(later.join(st.labels(spark, sf).select(*KEYS, "label"), KEYS))
     area = metrics.pr_auc(labelled, "s_s", by=["seed"])
     rows = report.metric_rows(rounded(area, ["pr_auc"]), F.lit("masked"), ["pr_auc"])

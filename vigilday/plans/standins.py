@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilday.functions.storage import stored
 from vigilday.operators import features, normalise, sequences, split
 from vigilday.operators.fusion import align, normalise_z
 
@@ -119,16 +120,20 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
     return label_days(normalise.user_days(ev), label_events(ev, answers(spark, sf)))
 
 
+def cuts(spark: SparkSession, sf: str):
+    """First validation and first test day, from the days of the raw events alone."""
+    return split.cut_points(events(spark, sf).select("day"), SHARES, "day")
+
+
 def user_days(spark: SparkSession, sf: str) -> DataFrame:
     """User-days with their part by time, group attributes and the count score s."""
-    ud = normalise.user_days(events(spark, sf))
-    ud = split.split_ratio(ud, SHARES, "day").withColumn("s", F.col("n_events").cast("double"))
-    return ud.join(people(spark, sf), "user_id", "left")
+    ud = normalise.user_days(events(spark, sf)).withColumn("s", F.col("n_events").cast("double"))
+    return split.split_at(ud, *cuts(spark, sf)).join(people(spark, sf), "user_id", "left")
 
 
 def count_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Count features with their part by time."""
-    return split.split_ratio(features.count_features(events(spark, sf), ACTIONS), SHARES, "day")
+    """Count features with their part by time, written once: they are fitted on and scored."""
+    return stored(split.split_at(features.count_features(events(spark, sf), ACTIONS), *cuts(spark, sf)))
 
 
 def volume_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,18 +144,25 @@ def volume_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def seq(spark: SparkSession, sf: str) -> DataFrame:
     """Placed tokens with their part by time."""
-    return split.split_ratio(sequences.tokens(flagged(spark, sf)), SHARES, "day")
+    return split.split_at(sequences.tokens(flagged(spark, sf)), *cuts(spark, sf))
+
+
+def steps(spark: SparkSession, sf: str, back: int = 1, ahead: int = 0) -> DataFrame:
+    """Counted steps per user-day with their part by time, written once."""
+    near = sequences.neighbours(seq(spark, sf), back, ahead)
+    return stored(sequences.count_steps(near, ["user_id", "day", "split"]))
 
 
 def order_scores(spark: SparkSession, sf: str) -> DataFrame:
-    near = sequences.neighbours(seq(spark, sf), back=1)
-    model = sequences.fit_ngram(near.filter("split = 'train'"), 2)
-    return sequences.day_score(sequences.nll(near, model))
+    counted = steps(spark, sf)
+    model = sequences.fit_ngram(counted.filter("split = 'train'"), 2)
+    return sequences.day_score(sequences.nll(counted, model))
 
 
 def streams(spark: SparkSession, sf: str) -> DataFrame:
     """Both streams per user-day as train z-scores, with part and group attributes."""
-    both = align(volume_scores(spark, sf), order_scores(spark, sf))
-    both = split.split_ratio(both, SHARES, "day")
+    both = stored(align(volume_scores(spark, sf), order_scores(spark, sf)))
+    both = split.split_at(both, *cuts(spark, sf))
     stats = features.fit_stats(both.filter("split = 'train'"), ["s_f", "s_s"])
-    return normalise_z(both, ["s_f", "s_s"], stats).join(people(spark, sf), "user_id", "left")
+    scaled = normalise_z(both, ["s_f", "s_s"], stats).join(people(spark, sf), "user_id", "left")
+    return stored(scaled)

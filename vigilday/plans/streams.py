@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigilday.functions.joins import lookup_join
+from vigilday.functions.storage import stored
 from vigilday.operators import features, sequences
+from vigilday.operators.split import split_at
 from vigilday.plans import sql as q
 from vigilday.plans import standins as st
 from vigilday.plans.registry import query, rounded
@@ -38,13 +40,11 @@ lst AS (SELECT host, count(*) AS n_events, count(DISTINCT user_id) AS n_users FR
 
 def _web(spark, sf):
     """Web events with the host of the page their object number names, and their part by time."""
-    from vigilday.operators.split import split_ratio
-
     pages = st.table(spark, sf, "pages").select(
         F.col("page_id").cast("string").alias("object"),
         F.try_parse_url("url", F.lit("HOST")).alias("host"),
     )
-    every = split_ratio(st.events(spark, sf), st.SHARES, "day").filter("log = 'http'")
+    every = split_at(st.one_log(spark, sf, "http"), *st.cuts(spark, sf))
     return lookup_join(every.select("user_id", "day", "split", "event_id", "object"), pages, ["object"], "inner")
 
 
@@ -172,10 +172,10 @@ def truncate_tail(spark, sf):
 )
 def truncate_chunks(spark, sf):
     """Each chunk is scored, and the day gets its most surprising chunk."""
-    near = sequences.neighbours(st.seq(spark, sf), back=1)
-    model = sequences.fit_ngram(near.filter("split = 'train'"), 2)
     keys = ["user_id", "day", "chunk"]
-    steps = sequences.nll(sequences.truncate(near, MAX_LEN, "chunk"), model, keys=keys)
+    near = sequences.truncate(sequences.neighbours(st.seq(spark, sf), back=1), MAX_LEN, "chunk")
+    counted = stored(sequences.count_steps(near, [*keys, "split"]))
+    steps = sequences.nll(counted, sequences.fit_ngram(counted.filter("split = 'train'"), 2))
     per_chunk = steps.groupBy(*keys).agg(
         F.sum("n").alias("n"), (F.sum(F.col("nll") * F.col("n")) / F.sum("n")).alias("s_s")
     )
@@ -216,9 +216,9 @@ def seq_score_next(spark, sf):
     SELECT user_id, day, round(avg(nll), 6) AS s_s FROM t GROUP BY user_id, day""",
 )
 def seq_score_trigram(spark, sf):
-    near = sequences.neighbours(st.seq(spark, sf), back=2)
-    model = sequences.fit_ngram(near.filter("split = 'train'"), 3)
-    return rounded(sequences.day_score(sequences.nll(near, model)), ["s_s"])
+    counted = st.steps(spark, sf, back=2)
+    model = sequences.fit_ngram(counted.filter("split = 'train'"), 3)
+    return rounded(sequences.day_score(sequences.nll(counted, model)), ["s_s"])
 
 
 MASK_RATIO = 0.3
@@ -240,12 +240,15 @@ def cloze_sql(mask: str) -> str:
 )
 def seq_score_masked(spark, sf):
     near = sequences.neighbours(st.seq(spark, sf), back=1, ahead=1)
-    model = sequences.fit_cloze(near.filter("split = 'train'"))
-    steps = sequences.nll(near, model, sequences.sampled(MASK_RATIO))
-    counts = steps.groupBy("user_id", "day").agg(
-        F.sum("n").alias("n_masked"), F.round(F.sum(F.col("nll") * F.col("n")) / F.sum("n"), 6).alias("s_s")
+    both = near.groupBy("user_id", "day", "split", "prev1", "next1", "token").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(sequences.sampled(MASK_RATIO)).alias("n_masked")
     )
-    return counts
+    counted = stored(both)
+    model = sequences.fit_cloze(counted.filter("split = 'train'"))
+    scored = sequences.nll(counted.filter("n_masked > 0"), model)
+    return scored.groupBy("user_id", "day").agg(
+        (F.sum(F.col("nll") * F.col("n_masked")) / F.sum("n_masked")).alias("s_s"), F.sum("n_masked").alias("n_masked")
+    ).withColumn("s_s", F.round("s_s", 6))
 
 
 @query(
@@ -255,9 +258,8 @@ def seq_score_masked(spark, sf):
                round(avg(nll) FILTER (k <= 3), 6) AS top3_s FROM r GROUP BY user_id, day""",
 )
 def seq_day_score(spark, sf):
-    near = sequences.neighbours(st.seq(spark, sf), back=1)
-    model = sequences.fit_ngram(near.filter("split = 'train'"), 2)
-    steps = sequences.nll(near, model)
+    counted = st.steps(spark, sf)
+    steps = stored(sequences.nll(counted, sequences.fit_ngram(counted.filter("split = 'train'"), 2)))
     keys = ["user_id", "day"]
     out = None
     for agg in ("mean", "max", "top3"):

@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_interim(events: DataFrame, path: str, mode: str = "overwrite", files_per_part: int = 8) -> None:
+def write_interim(events: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store normalised events by log and month.
 
-    Rows are spread by a hash of the event within (log, month) before the
-    write: a partition gets at most ``files_per_part`` files, and the largest
-    log of the busiest month is not one task's work.
+    The rebalance gathers each (log, month) for the write and lets Spark cut the
+    large ones into files of the advisory partition size, by their real size: the
+    web log of a busy month is many tasks, and a quiet one a single file.
     """
-    part = F.pmod(F.xxhash64("event_id"), F.lit(files_per_part))
-    events.repartition("log", "month", part).write.mode(mode).partitionBy("log", "month").parquet(path)
+    events.hint("rebalance", "log", "month").write.mode(mode).partitionBy("log", "month").parquet(path)
 
 
 def read_interim(
@@ -54,7 +53,7 @@ def read_processed(spark: SparkSession, path: str, name: str) -> DataFrame:
 def write_alerts(alerts: DataFrame, path: str) -> None:
     """Store alerts by day. Only the days present in ``alerts`` are replaced."""
     (
-        alerts.repartition("day")
+        alerts.hint("rebalance", "day")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")
