@@ -27,19 +27,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written copy.
+    """Write ``df`` once as a table in the shared folder and go on from that table.
 
     Used where a result is read several times, or must not be recomputed
-    differently. A frame that is such a copy already is returned as it is.
+    differently. Written columns can be read one by one, and Spark knows the
+    table's size. A frame that is such a table already is returned as it is.
     """
     if getattr(df, "_is_stored", False):
         return df
-    shared_dir(df.sparkSession)
-    copy = df.checkpoint(eager=True)
+    path = new_table_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    copy = df.sparkSession.read.schema(df.schema).parquet(path)
     copy._is_stored = True
     return copy
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A path for a table of one run, under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path for a table of this application, under the shared folder."""
+    return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables this application has stored. Call it when its results are written."""
+    folder = _app_dir(spark)
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(hadoop).delete(path, True)

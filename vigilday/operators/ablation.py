@@ -13,7 +13,7 @@ from vigilday.functions.windows import trailing
 from vigilday.operators.fusion import fuse
 from vigilday.operators.metrics import confusion, fpr, pr_auc
 from vigilday.operators.threshold import EPS
-from vigilday.operators.tiers import baselines, shrink
+from vigilday.operators.tiers import baselines, shrink, weights
 
 STREAMS = {"feature": "s_f", "sequence": "s_s", "fused": "s"}
 TIERS = ("off", "P", "PG", "PGA")
@@ -31,11 +31,13 @@ def variant_scores(
     """
     fused = ud.withColumn("s", fuse("s_f", "s_s", alpha))
     based = baselines(fused, list(STREAMS.values()), group_key, days, min_group_size)
+    for tier in TIERS[1:]:
+        based = based.withColumns(weights(k_p, k_g, tier))
     names = {(s, t): f"v_{s}_{t}" for s in STREAMS for t in TIERS}
     scores = {}
     for (stream, tier), name in names.items():
         c = STREAMS[stream]
-        value = F.col(c) if tier == "off" else shrink(c, k_p, k_g, floor, tier)
+        value = F.col(c) if tier == "off" else shrink(c, floor, tier)
         scores[name] = F.coalesce(value, F.lit(0.0))
     w = trailing(["user_id"], tau_days)
     enough = F.count(F.lit(1)).over(w) >= min_hist
@@ -43,12 +45,9 @@ def variant_scores(
         f"t{name}": F.when(enough, F.percentile(F.col(name), F.lit(float(p))).over(w)) for name in names.values()
     }
     wide = based.withColumns(scores).withColumns(taus)
-    rows = F.array(*[
-        F.struct(F.lit(s).alias("stream"), F.lit(t).alias("tiers"), F.col(n).alias("score"), F.col(f"t{n}").alias("tau"))
-        for (s, t), n in names.items()
-    ])
-    return wide.select("user_id", "day", "split", F.explode(rows).alias("_v")).select(
-        "user_id", "day", "split", "_v.*"
+    rows = ", ".join(f"'{s}', '{t}', {n}, t{n}" for (s, t), n in names.items())
+    return wide.select(
+        "user_id", "day", "split", F.expr(f"stack({len(names)}, {rows}) as (stream, tiers, score, tau)")
     )
 
 

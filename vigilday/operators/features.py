@@ -63,7 +63,7 @@ def domain_list_features(web: DataFrame, domains: DataFrame, **bounds) -> DataFr
 
 def words_of(text: Column) -> Column:
     """The lower-case words of a text: its runs of ASCII letters, digits and underscore."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
 def keyword_features(

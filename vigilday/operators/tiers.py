@@ -59,19 +59,19 @@ def group(
 
     The group includes the user. A user-day without a group gets no group baseline.
     """
-    known = ud
-    for k in keys:
-        known = known.filter(F.col(k).isNotNull())
-    moments = _past_moments(known, keys, columns, days, "g", centre)
+    moments = _past_moments(_in_group(ud, keys), keys, columns, days, "g", centre)
     return lookup_join(ud, moments, [*keys, "day"], **bounds).na.fill(0, ["n_g"])
 
 
-def company(ud: DataFrame, columns: Sequence[str], days: int, centre: float = 0.0) -> DataFrame:
+def company(
+    ud: DataFrame, columns: Sequence[str], days: int, centre: float = 0.0, source: DataFrame | None = None
+) -> DataFrame:
     """The same over everybody: ``mu_a_*``, ``sd_a_*``, ``n_a`` user-days.
 
-    The table joined back has one row per calendar day, which bounds it.
+    The table joined back has one row per calendar day, which bounds it. It is
+    summed from ``source`` when that is a cheaper frame with the same rows.
     """
-    moments = _past_moments(ud, [], columns, days, "a", centre)
+    moments = _past_moments(ud if source is None else source, [], columns, days, "a", centre)
     return ud.join(F.broadcast(moments), "day", "left")
 
 
@@ -96,15 +96,18 @@ def users_seen(ud: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def guard_group(ud: DataFrame, keys: Sequence[str], min_size: int, **bounds) -> DataFrame:
     """Add ``n_users`` and ``group_ok``: whether the group had enough users before the day."""
-    known = ud
+    seen = users_seen(_in_group(ud, keys), keys)
+    return _flag_size(lookup_join(ud, seen, [*keys, "day"], **bounds), min_size)
+
+
+def _in_group(ud: DataFrame, keys: Sequence[str]) -> DataFrame:
     for k in keys:
-        known = known.filter(F.col(k).isNotNull())
-    seen = users_seen(known, keys)
-    return (
-        lookup_join(ud, seen, [*keys, "day"], **bounds)
-        .na.fill(0, ["n_users"])
-        .withColumn("group_ok", (F.col("n_users") >= min_size).cast("int"))
-    )
+        ud = ud.filter(F.col(k).isNotNull())
+    return ud
+
+
+def _flag_size(ud: DataFrame, min_size: int) -> DataFrame:
+    return ud.na.fill(0, ["n_users"]).withColumn("group_ok", (F.col("n_users") >= min_size).cast("int"))
 
 
 def baselines(
@@ -118,74 +121,73 @@ def baselines(
 ) -> DataFrame:
     """All three baselines and the group guard for every score column at once.
 
-    ``group_key`` is any attribute of the user-day, or several together.
+    ``group_key`` is any attribute of the user-day, or several together. One
+    table per (group, day) and one per day are joined, and one window per user
+    is opened, however many columns there are.
     """
     keys = [group_key] if isinstance(group_key, str) else list(group_key)
     ud = stored(ud)
-    with_group = group(ud, keys, columns, days, centre, **bounds)
-    guarded = guard_group(with_group, keys, min_group_size, **bounds)
-    moments = _past_moments(ud, [], columns, days, "a", centre)
-    with_company = guarded.join(F.broadcast(moments), "day", "left")
-    return personal(with_company, columns, days)
-
-
-def _or0(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    known = _in_group(ud, keys)
+    per_group = _past_moments(known, keys, columns, days, "g", centre).join(
+        users_seen(known, keys), [*keys, "day"]
+    )
+    with_group = lookup_join(ud, per_group, [*keys, "day"], **bounds).na.fill(0, ["n_g"])
+    return personal(company(_flag_size(with_group, min_group_size), columns, days, centre, ud), columns, days)
 
 
 def _z(value: Column, mu: Column, sd: Column, floor: float) -> Column:
     return (value - mu) / F.greatest(sd, F.lit(floor))
 
 
-def shrink(
-    c: str, k_p: float | Column, k_g: float | Column, floor: float = 0.5, tiers: str = "PGA"
-) -> Column:
-    """Deviation from one baseline that leans on a tier the more days it has.
+_HAS_GROUP = "(group_ok = 1 and n_g > 0)"
+
+
+def weights(k_p: float | str, k_g: float | str, tiers: str = "PGA") -> dict[str, Column]:
+    """How far a user-day leans on its tiers: columns for :func:`shrink`.
 
     w_P = n_P / (n_P + k_P) and w_G = n_G / (n_G + k_G), with w_G = 0 for a group
-    under its least size. Means and variances are mixed by the same weights.
-    ``tiers`` limits the mixture to ``P`` or ``PG`` for ablation.
+    under its least size. ``tiers`` limits the mixture to ``P`` or ``PG`` for
+    ablation. ``known`` is whether any tier in use has a past. The constants are
+    numbers or column names.
     """
-    k_p = k_p if isinstance(k_p, Column) else F.lit(float(k_p))
-    k_g = k_g if isinstance(k_g, Column) else F.lit(float(k_g))
-    w_p = F.when(F.col("n_p") > 0, F.col("n_p") / (F.col("n_p") + k_p)).otherwise(0.0)
-    w_g = F.when((F.col("group_ok") == 1) & (F.col("n_g") > 0), F.col("n_g") / (F.col("n_g") + k_g)).otherwise(0.0)
+    w_p = f"if(n_p > 0, n_p / (n_p + {k_p}), 0D)"
+    w_g = f"if({_HAS_GROUP}, n_g / (n_g + {k_g}), 0D)"
+    known = "n_a > 0"
     if tiers == "P":
-        known = F.col("n_p") > 0
-        w_p = F.lit(1.0)
+        w_p, known = "1D", "n_p > 0"
     elif tiers == "PG":
-        known = (F.col("n_p") > 0) | ((F.col("group_ok") == 1) & (F.col("n_g") > 0))
-        w_p = F.when((F.col("group_ok") == 1) & (F.col("n_g") > 0), w_p).otherwise(1.0)
-        w_g = F.lit(1.0)
-    else:
-        known = F.col("n_a") > 0
+        w_p, w_g, known = f"if({_HAS_GROUP}, {w_p}, 1D)", "1D", f"(n_p > 0 or {_HAS_GROUP})"
+    return {
+        f"w_p_{tiers}": F.expr(w_p), f"w_g_{tiers}": F.expr(w_g), f"known_{tiers}": F.expr(f"coalesce({known}, false)")
+    }
 
-    def mix(p: Column, g: Column, a: Column) -> Column:
-        return w_p * p + (F.lit(1.0) - w_p) * (w_g * g + (F.lit(1.0) - w_g) * a)
 
-    def square(name: str) -> Column:
-        return _or0(name) * _or0(name)
+def shrink(c: str, floor: float = 0.5, tiers: str = "PGA") -> Column:
+    """Deviation from one baseline that leans on a tier the more days it has.
 
-    mu = mix(_or0(f"mu_p_{c}"), _or0(f"mu_g_{c}"), _or0(f"mu_a_{c}"))
-    sd = F.sqrt(mix(square(f"sd_p_{c}"), square(f"sd_g_{c}"), square(f"sd_a_{c}")))
-    return F.when(known, _z(F.col(c), mu, sd, floor))
+    Means and variances of the tiers are mixed by the columns of :func:`weights`;
+    a tier without a past has weight 0.
+    """
+
+    def mix(term: str) -> str:
+        p, g, a = (f"coalesce({term.format(t=t, c=c)}, 0D)" for t in "pga")
+        return f"(w_p_{tiers} * {p} + (1 - w_p_{tiers}) * (w_g_{tiers} * {g} + (1 - w_g_{tiers}) * {a}))"
+
+    sd = f"sqrt({mix('sd_{t}_{c} * sd_{t}_{c}')})"
+    return F.expr(f"if(known_{tiers}, ({c} - {mix('mu_{t}_{c}')}) / greatest({sd}, {floor}D), null)")
 
 
 def tier_z(c: str, floor: float = 0.5) -> dict[str, Column]:
     """Deviation from each tier by itself; NULL where the tier has no past."""
-    has = {
-        "p": F.col("n_p") > 0,
-        "g": (F.col("group_ok") == 1) & (F.col("n_g") > 0),
-        "a": F.col("n_a") > 0,
-    }
+    has = {"p": F.col("n_p") > 0, "g": F.expr(_HAS_GROUP), "a": F.col("n_a") > 0}
     return {t: F.when(ok, _z(F.col(c), F.col(f"mu_{t}_{c}"), F.col(f"sd_{t}_{c}"), floor)) for t, ok in has.items()}
 
 
-def fixed(c: str, weights: Sequence[float], floor: float = 0.5) -> Column:
+def fixed(c: str, shares: Sequence[float], floor: float = 0.5) -> Column:
     """Weighted mean of the three deviations, over the tiers that have a past."""
     z = tier_z(c, floor)
-    total = sum((F.coalesce(z[t] * w, F.lit(0.0)) for t, w in zip("pga", weights)), F.lit(0.0))
-    share = sum((F.when(z[t].isNotNull(), w).otherwise(0.0) for t, w in zip("pga", weights)), F.lit(0.0))
+    total = sum((F.coalesce(z[t] * w, F.lit(0.0)) for t, w in zip("pga", shares)), F.lit(0.0))
+    share = sum((F.when(z[t].isNotNull(), w).otherwise(0.0) for t, w in zip("pga", shares)), F.lit(0.0))
     return F.when(share > 0, total / share)
 
 
@@ -206,14 +208,18 @@ def band(c: str, k_p: float, k_g: float, k_a: float, eps: float = 1e-9) -> dict[
     return flags
 
 
-def combine(c: str, weighting: str, k_p: float, k_g: float, weights: Sequence[float], floor: float) -> Column:
-    """The deviation of one score column under the chosen weighting."""
+def combine(
+    based: DataFrame, columns: Sequence[str], weighting: str, *, k_p: float = 7, k_g: float = 30,
+    shares: Sequence[float] = (0.5, 0.3, 0.2), floor: float = 0.5,
+) -> DataFrame:
+    """Add ``z_<column>``, the deviation under the chosen weighting, to :func:`baselines`."""
     if weighting == "shrink":
-        return shrink(c, k_p, k_g, floor)
+        based = based.withColumns(weights(k_p, k_g))
+        return based.withColumns({f"z_{c}": shrink(c, floor) for c in columns})
     if weighting == "fixed":
-        return fixed(c, weights, floor)
+        return based.withColumns({f"z_{c}": fixed(c, shares, floor) for c in columns})
     if weighting == "max":
-        return largest(c, floor)
+        return based.withColumns({f"z_{c}": largest(c, floor) for c in columns})
     raise ValueError(f"unknown weighting {weighting}")
 
 
@@ -229,7 +235,7 @@ def place(
     weighting: str = "shrink",
     k_p: float = 7,
     k_g: float = 30,
-    weights: Sequence[float] = (0.5, 0.3, 0.2),
+    shares: Sequence[float] = (0.5, 0.3, 0.2),
     floor: float = 0.5,
 ) -> DataFrame:
     """Apply the tiers to the features, to each stream, or to the fused score.
@@ -241,9 +247,7 @@ def place(
 
     def deviations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         based = baselines(df, columns, group_key, days, min_group_size)
-        return based.withColumns(
-            {f"z_{c}": combine(c, weighting, k_p, k_g, weights, floor) for c in columns}
-        )
+        return combine(based, columns, weighting, k_p=k_p, k_g=k_g, shares=shares, floor=floor)
 
     if placement == "fused":
         fused = ud.withColumn("s", F.lit(alpha) * F.col("s_f") + F.lit(1 - alpha) * F.col("s_s"))

@@ -18,7 +18,7 @@ from vigilday.functions.ordering import top_rows
 from vigilday.functions.storage import stored
 from vigilday.functions.windows import trailing, unit_hash
 from vigilday.operators.fusion import fuse
-from vigilday.operators.tiers import guard_group, shrink
+from vigilday.operators.tiers import guard_group, shrink, weights
 
 SUMS = ("n", "a", "b", "aa", "bb", "ab")
 
@@ -104,6 +104,7 @@ def sweep(
     ``budget`` rows per trial and day before anything is shuffled.
     """
     windows = sorted({t.days for t in trials})
+    ud = stored(ud)
     guarded = guard_group(ud, [group_key], min_group_size, **bounds)
     summed = _with_past_sums(guarded, group_key, windows, **bounds).filter("split = 'val'")
     choices = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in asdict(t).items()]) for t in trials])
@@ -128,10 +129,10 @@ def sweep(
         moments[f"n_{tier}"] = n
         moments[f"mu_{tier}_s"] = mean
         moments[f"sd_{tier}_s"] = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
-    z = shrink("s", F.col("k_p"), F.col("k_g"), floor)
     scored = (
         fan.withColumns(moments)
-        .withColumn("z", F.round(z, 6))
+        .withColumns(weights("k_p", "k_g"))
+        .withColumn("z", F.round(shrink("s", floor), 6))
         .filter("z is not null")
         .select("trial", "day", "user_id", "z")
     )

@@ -67,6 +67,13 @@ def _based(spark, sf, key=st.GROUP) -> DataFrame:
     return tiers.baselines(st.user_days(spark, sf), ["s"], key, st.W, st.MIN_GROUP)
 
 
+def _combined(spark, sf, weighting: str) -> DataFrame:
+    z = tiers.combine(
+        _based(spark, sf), ["s"], weighting, k_p=st.K_P, k_g=st.K_G, shares=st.FIXED_WEIGHTS, floor=st.SD_FLOOR
+    )
+    return z.select(*KEYS, F.round("z_s", 6).alias("z"))
+
+
 def _three(tier: str) -> str:
     return f"round(mu_{tier}_s, 6) AS mu, round(sd_{tier}_s, 6) AS sd, n_{tier} AS n"
 
@@ -141,8 +148,7 @@ def min_group_size(spark, sf):
 
 @query("tier_weight_shrink", f"WITH {_BL} SELECT user_id, day, round({q.shrink('s')}, 6) AS z FROM bl")
 def tier_weight_shrink(spark, sf):
-    z = tiers.combine("s", "shrink", st.K_P, st.K_G, st.FIXED_WEIGHTS, st.SD_FLOOR)
-    return _based(spark, sf).select(*KEYS, F.round(z, 6).alias("z"))
+    return _combined(spark, sf, "shrink")
 
 
 _TZ = q.tier_z("s")
@@ -157,14 +163,12 @@ _Z3 = f"{_BL}, z3 AS (SELECT user_id, day, {', '.join(f'{e} AS z_{t}' for t, e i
         FROM z3""",
 )
 def tier_weight_fixed(spark, sf):
-    z = tiers.combine("s", "fixed", st.K_P, st.K_G, st.FIXED_WEIGHTS, st.SD_FLOOR)
-    return _based(spark, sf).select(*KEYS, F.round(z, 6).alias("z"))
+    return _combined(spark, sf, "fixed")
 
 
 @query("tier_weight_max", f"WITH {_Z3} SELECT user_id, day, round(greatest(z_p, z_g, z_a), 6) AS z FROM z3")
 def tier_weight_max(spark, sf):
-    z = tiers.combine("s", "max", st.K_P, st.K_G, st.FIXED_WEIGHTS, st.SD_FLOOR)
-    return _based(spark, sf).select(*KEYS, F.round(z, 6).alias("z"))
+    return _combined(spark, sf, "max")
 
 
 @query(

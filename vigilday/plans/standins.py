@@ -131,38 +131,39 @@ def user_days(spark: SparkSession, sf: str) -> DataFrame:
     return split.split_at(ud, *cuts(spark, sf)).join(people(spark, sf), "user_id", "left")
 
 
-def count_table(spark: SparkSession, sf: str) -> DataFrame:
+def count_table(spark: SparkSession, sf: str, cut=None) -> DataFrame:
     """Count features with their part by time, written once: they are fitted on and scored."""
-    return stored(split.split_at(features.count_features(events(spark, sf), ACTIONS), *cuts(spark, sf)))
+    counts = features.count_features(events(spark, sf), ACTIONS)
+    return stored(split.split_at(counts, *(cut or cuts(spark, sf))))
 
 
-def volume_scores(spark: SparkSession, sf: str) -> DataFrame:
-    counts = count_table(spark, sf)
+def volume_scores(spark: SparkSession, sf: str, cut=None) -> DataFrame:
+    counts = count_table(spark, sf, cut)
     stats = features.fit_stats(counts.filter("split = 'train'"), COUNTS)
     return features.diag_score(counts, COUNTS, stats)
 
 
-def seq(spark: SparkSession, sf: str) -> DataFrame:
+def seq(spark: SparkSession, sf: str, cut=None) -> DataFrame:
     """Placed tokens with their part by time."""
-    return split.split_at(sequences.tokens(flagged(spark, sf)), *cuts(spark, sf))
+    return split.split_at(sequences.tokens(flagged(spark, sf)), *(cut or cuts(spark, sf)))
 
 
-def steps(spark: SparkSession, sf: str, back: int = 1, ahead: int = 0) -> DataFrame:
+def steps(spark: SparkSession, sf: str, back: int = 1, ahead: int = 0, cut=None) -> DataFrame:
     """Counted steps per user-day with their part by time, written once."""
-    near = sequences.neighbours(seq(spark, sf), back, ahead)
+    near = sequences.neighbours(seq(spark, sf, cut), back, ahead)
     return stored(sequences.count_steps(near, ["user_id", "day", "split"]))
 
 
-def order_scores(spark: SparkSession, sf: str) -> DataFrame:
-    counted = steps(spark, sf)
+def order_scores(spark: SparkSession, sf: str, cut=None) -> DataFrame:
+    counted = steps(spark, sf, cut=cut)
     model = sequences.fit_ngram(counted.filter("split = 'train'"), 2)
     return sequences.day_score(sequences.nll(counted, model))
 
 
 def streams(spark: SparkSession, sf: str) -> DataFrame:
     """Both streams per user-day as train z-scores, with part and group attributes."""
-    both = stored(align(volume_scores(spark, sf), order_scores(spark, sf)))
-    both = split.split_at(both, *cuts(spark, sf))
+    cut = cuts(spark, sf)
+    both = stored(align(volume_scores(spark, sf, cut), order_scores(spark, sf, cut)))
+    both = split.split_at(both, *cut)
     stats = features.fit_stats(both.filter("split = 'train'"), ["s_f", "s_s"])
-    scaled = normalise_z(both, ["s_f", "s_s"], stats).join(people(spark, sf), "user_id", "left")
-    return stored(scaled)
+    return normalise_z(both, ["s_f", "s_s"], stats).join(people(spark, sf), "user_id", "left")
