@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,6 +94,30 @@ def _with_past_sums(ud: DataFrame, group_key: str, windows: Sequence[int], **bou
     return past(out, ["user_id"], "p").drop(*[f"_{k}" for k in SUMS])
 
 
+def _trial_scores(summed: DataFrame, trials: Sequence[Trial], days: int, floor: float) -> DataFrame:
+    """Deviation of every validation row under each trial with this window length."""
+    sums = [F.col(f"{k}_{t}_{days}").alias(f"{k}_{t}") for t in "pga" for k in SUMS]
+    choices = ", ".join(f"{t.trial}, {t.alpha}D, {t.k_p}, {t.k_g}" for t in trials)
+    fan = summed.select(
+        "user_id", "day", "s_f", "s_s", "group_ok", *sums,
+        F.expr(f"stack({len(trials)}, {choices}) as (trial, alpha, k_p, k_g)"),
+    ).filter("n_a > 0")
+    fan = fan.withColumn("s", fuse("s_f", "s_s", F.col("alpha")))
+    fan = fan.withColumns({
+        f"mu_{t}_s": F.expr(f"try_divide(alpha * a_{t} + (1 - alpha) * b_{t}, n_{t})") for t in "pga"
+    })
+    square = "(alpha * alpha * aa_{t} + 2 * alpha * (1 - alpha) * ab_{t} + (1 - alpha) * (1 - alpha) * bb_{t})"
+    fan = fan.withColumns({
+        f"sd_{t}_s": F.expr(f"sqrt(greatest(try_divide({square.format(t=t)}, n_{t}) - mu_{t}_s * mu_{t}_s, 0D))")
+        for t in "pga"
+    })
+    return (
+        fan.withColumns(weights("k_p", "k_g"))
+        .withColumn("z", F.round(shrink("s", floor), 6))
+        .select("trial", "day", "user_id", "z")
+    )
+
+
 def sweep(
     ud: DataFrame, trials: Sequence[Trial], *, group_key: str, min_group_size: int, budget: int,
     floor: float = 0.5, **bounds,
@@ -106,35 +131,10 @@ def sweep(
     windows = sorted({t.days for t in trials})
     ud = stored(ud)
     guarded = guard_group(ud, [group_key], min_group_size, **bounds)
-    summed = _with_past_sums(guarded, group_key, windows, **bounds).filter("split = 'val'")
-    choices = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in asdict(t).items()]) for t in trials])
-    fan = summed.withColumn("_t", F.explode(choices)).select("*", "_t.*").drop("_t")
-
-    def of(k: str, tier: str) -> Column:
-        picked = F.col(f"{k}_{tier}_{windows[0]}")
-        for d in windows[1:]:
-            picked = F.when(F.col("days") == d, F.col(f"{k}_{tier}_{d}")).otherwise(picked)
-        return F.coalesce(picked, F.lit(0.0))
-
-    alpha, beta = F.col("alpha"), F.lit(1.0) - F.col("alpha")
-    moments: dict[str, Column] = {"s": fuse("s_f", "s_s", alpha)}
-    for tier in ("p", "g", "a"):
-        n = of("n", tier)
-        mean = F.try_divide(alpha * of("a", tier) + beta * of("b", tier), n)
-        square = F.try_divide(
-            alpha * alpha * of("aa", tier) + F.lit(2.0) * alpha * beta * of("ab", tier)
-            + beta * beta * of("bb", tier),
-            n,
-        )
-        moments[f"n_{tier}"] = n
-        moments[f"mu_{tier}_s"] = mean
-        moments[f"sd_{tier}_s"] = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
-    scored = (
-        fan.withColumns(moments)
-        .withColumns(weights("k_p", "k_g"))
-        .withColumn("z", F.round(shrink("s", floor), 6))
-        .filter("z is not null")
-        .select("trial", "day", "user_id", "z")
+    summed = stored(_with_past_sums(guarded, group_key, windows, **bounds).filter("split = 'val'"))
+    scored = reduce(
+        DataFrame.unionByName,
+        [_trial_scores(summed, [t for t in trials if t.days == d], d, floor) for d in windows],
     )
     found = top_rows(scored, ["trial", "day"], [F.desc("z"), F.col("user_id")], budget)
     # at most budget rows per trial and day from here on
