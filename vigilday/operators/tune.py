@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,9 +152,9 @@ def sweep(
     objective = overlap.groupBy("trial").agg(
         F.avg(F.col("_both") / (F.col("_n") + F.col("_n0") - F.col("_both"))).alias("objective")
     )
-    given = ud.sparkSession.createDataFrame([asdict(t) for t in trials]).select(
-        F.col("trial").cast("int"), "alpha", F.col("k_p").cast("int"), F.col("k_g").cast("int"),
-        F.col("days").cast("int"),
+    values = ", ".join(f"{t.trial}, {t.alpha}D, {t.k_p}, {t.k_g}, {t.days}" for t in trials)
+    given = ud.sparkSession.range(1).select(
+        F.expr(f"stack({len(trials)}, {values}) as (trial, alpha, k_p, k_g, days)")
     )
     return given.join(objective, "trial", "left")
 

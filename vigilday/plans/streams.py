@@ -72,7 +72,7 @@ KEYWORDS = ["password", "secret", "license", "email", "confidential", "token", "
         FROM documents LEFT JOIN c USING (doc_id)""",
 )
 def keyword_features(spark, sf):
-    words = spark.createDataFrame([(w,) for w in KEYWORDS], "word string")
+    words = spark.range(1).select(F.explode(F.array(*map(F.lit, KEYWORDS))).alias("word"))
     return features.keyword_features(st.table(spark, sf, "documents").select("doc_id", "text"), words, ["doc_id"])
 
 

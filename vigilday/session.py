@@ -7,18 +7,22 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, app: str = "vigilday") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
-    return (
+def local_session(cores: int | str = 8, app: str = "vigilday", shared: str | None = None) -> SparkSession:
+    """A local session for tests and the bench; a cluster brings its own.
+
+    ``shared`` is the folder for stored tables, ``spark.checkpoint.dir``.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("VIGILDAY_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    return builder.getOrCreate()
