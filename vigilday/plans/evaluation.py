@@ -54,11 +54,12 @@ def fpr(spark, sf):
     return rounded(metrics.fpr(metrics.confusion(_judged(spark, sf))), ["fpr", "recall"]).select("split", "fpr", "recall")
 
 
-def _ap_sql(source: str, score: str, label: str, by: str = "") -> str:
+def _ap_sql(source: str, score: str, label: str, by: str = "", digits: int | None = 6) -> str:
+    value = "sum(t * ct / CAST(cn AS DOUBLE)) / nullif(max(p), 0)"
     lead = f"{by}, " if by else ""
     part = f"PARTITION BY {by} " if by else ""
     whole = f"({part.strip()})" if by else "()"
-    return f"""SELECT {lead}round(sum(t * ct / CAST(cn AS DOUBLE)) / nullif(max(p), 0), 6) AS pr_auc,
+    return f"""SELECT {lead}{value if digits is None else f'round({value}, {digits})'} AS pr_auc,
       CAST(sum(n) AS BIGINT) AS n, CAST(max(p) AS BIGINT) AS n_pos FROM (
       SELECT *, sum(n) OVER w AS cn, sum(t) OVER w AS ct, sum(t) OVER {whole} AS p
       FROM (SELECT {lead}{score} AS score, count(*) AS n, sum({label}) AS t FROM {source} GROUP BY {lead}{score})
@@ -152,8 +153,8 @@ _SEEDED = " UNION ALL ".join(
     "seed_summary",
     f"""WITH {cloze_sql('TRUE')}, {q.UD}, {q.ANSWERS}, {q.LAB}, sd AS ({_SEEDED}),
     sl AS (SELECT seed, round(s, 9) AS s, label FROM sd JOIN sp USING (day) JOIN (SELECT user_id, day, label FROM lab) USING (user_id, day) WHERE split <> 'train'),
-    ap AS ({_ap_sql('sl', 's', 'label', 'seed')})
-    SELECT 'masked' AS variant, 'pr_auc' AS metric, count(pr_auc) AS n_seeds, round(avg(pr_auc), 5) AS mean, round(stddev_samp(pr_auc), 5) AS sd FROM ap""",
+    ap AS ({_ap_sql('sl', 's', 'label', 'seed', None)})
+    SELECT 'masked' AS variant, 'pr_auc' AS metric, count(pr_auc) AS n_seeds, round(avg(pr_auc), 6) AS mean, round(stddev_samp(pr_auc), 6) AS sd FROM ap""",
 )
 def seed_summary(spark, sf):
     """The masked order score under five mask seeds, evaluated after train."""
@@ -163,8 +164,8 @@ def seed_summary(spark, sf):
     later = scores.withColumn("s_s", F.round("s_s", 9))
     labelled = stored(later.join(st.labels(spark, sf).select(*KEYS, "label"), KEYS))
     area = metrics.pr_auc(labelled, "s_s", by=["seed"])
-    rows = report.metric_rows(rounded(area, ["pr_auc"]), F.lit("masked"), ["pr_auc"])
-    return rounded(report.seed_summary(rows), ["mean", "sd"], 5)
+    rows = report.metric_rows(area, F.lit("masked"), ["pr_auc"])
+    return rounded(report.seed_summary(rows), ["mean", "sd"])
 
 
 _STREAMS_S = f"""{q.BASE_STREAMS}, st3 AS (SELECT *, {st.ALPHA}::DOUBLE * s_f + (1 - {st.ALPHA}::DOUBLE) * s_s AS s FROM streams)"""
@@ -185,7 +186,7 @@ def _variants_sql() -> str:
     tj AS (SELECT stream, tiers, label, 'user' AS threshold, coalesce(score - tau > 1e-9, FALSE) AS alert FROM ts
            UNION ALL SELECT stream, tiers, label, 'global', coalesce(score - tau_all > 1e-9, FALSE) FROM ts),
     tr9 AS (SELECT stream, tiers, round(score, 9) AS s, label FROM ts),
-    tap AS ({_ap_sql('tr9', 's', 'label', 'stream, tiers')}),
+    tap AS ({_ap_sql('tr9', 's', 'label', 'stream, tiers', None)}),
     ab AS (SELECT stream, tiers, threshold, tp, fp, tn, fn, fp / nullif(CAST(fp + tn AS DOUBLE), 0) AS fpr,
                   tp / nullif(CAST(tp + fn AS DOUBLE), 0) AS recall, pr_auc FROM (
            SELECT stream, tiers, threshold, count(*) FILTER (alert AND label = 1) AS tp, count(*) FILTER (alert AND label = 0) AS fp,
@@ -201,24 +202,24 @@ def _ablation(spark, sf) -> DataFrame:
         st.streams(spark, sf), alpha=st.ALPHA, group_key=st.GROUP, days=st.W, min_group_size=st.MIN_GROUP,
         k_p=st.K_P, k_g=st.K_G, p=st.P, tau_days=st.W_TAU, min_hist=st.MIN_HIST, floor=st.SD_FLOOR,
     )
-    return rounded(ablation.ablate(scored, st.labels(spark, sf), st.P), ["fpr", "recall", "pr_auc"])
+    return ablation.ablate(scored, st.labels(spark, sf), st.P)
 
 
 @query(
     "ablation",
-    f"WITH {_ABL} SELECT stream, tiers, threshold, tp, fp, tn, fn, round(fpr, 6) AS fpr, round(recall, 6) AS recall, pr_auc FROM ab",
+    f"WITH {_ABL} SELECT stream, tiers, threshold, tp, fp, tn, fn, round(fpr, 6) AS fpr, round(recall, 6) AS recall,\n        round(pr_auc, 6) AS pr_auc FROM ab",
 )
 def ablation_table(spark, sf):
-    return _ablation(spark, sf)
+    return rounded(_ablation(spark, sf), ["fpr", "recall", "pr_auc"])
 
 
 @query(
     "ablation_rollup",
     f"""WITH {_ABL} SELECT stream, tiers, threshold, count(*) AS n_variants, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
-        round(avg(pr_auc), 5) AS mean_pr_auc, max(pr_auc) AS best_pr_auc FROM ab GROUP BY CUBE (stream, tiers, threshold)""",
+        round(avg(pr_auc), 6) AS mean_pr_auc, round(max(pr_auc), 6) AS best_pr_auc FROM ab GROUP BY CUBE (stream, tiers, threshold)""",
 )
 def ablation_rollup(spark, sf):
-    return rounded(ablation.rollup(stored(_ablation(spark, sf))), ["mean_pr_auc"], 5)
+    return rounded(ablation.rollup(stored(_ablation(spark, sf))), ["mean_pr_auc", "best_pr_auc"])
 
 
 _SIMPLE = ["s_f", "s_s", "s"]
