@@ -112,7 +112,7 @@ tq AS (SELECT *, CASE WHEN count(s) OVER w >= {st.MIN_HIST} THEN quantile_cont(s
 )
 def alert_sink(spark, sf):
     path = new_table_path(spark, "alerts")
-    ud = threshold.quantile_threshold(st.user_days(spark, sf), "s", st.P, st.W_TAU, st.MIN_HIST)
+    ud = threshold.quantile_threshold(st.day_scores(spark, sf), "s", st.P, st.W_TAU, st.MIN_HIST)
     tables.write_alerts(threshold.alerts(ud, "s"), path)
     return rounded(tables.read_alerts(spark, path), ["tau", "margin"]).select(
         "user_id", "day", "score", "tau", "margin"
@@ -128,7 +128,7 @@ _RUN = f"""{q.BASE_SCORES}, runs AS (
 def _runs(spark, sf):
     """One stored run: a few counts per part."""
     path = new_table_path(spark, "runs")
-    wide = st.user_days(spark, sf).groupBy("split").agg(
+    wide = st.split_days(spark, sf).groupBy("split").agg(
         F.count(F.lit(1)).alias("n_user_days"), F.sum("n_events").alias("n_events"), F.avg("s").alias("mean_s")
     )
     rows = report.metric_rows(wide, F.col("split"), ["n_user_days", "n_events", "mean_s"])

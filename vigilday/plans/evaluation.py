@@ -30,7 +30,8 @@ jd AS (SELECT user_id, day, split, s, label, scenario, CAST(coalesce(s - tau > 1
 
 def _judged(spark, sf) -> DataFrame:
     """Every user-day with its score, alert, label and scenario."""
-    with_tau = threshold.quantile_threshold(st.user_days(spark, sf), "s", st.P, st.W_TAU, st.MIN_HIST)
+    with_tau = threshold.quantile_threshold(st.split_days(spark, sf), "s", st.P, st.W_TAU, st.MIN_HIST)
+    with_tau = stored(with_tau)
     judged = metrics.judge(with_tau, threshold.alerts(with_tau, "s"))
     known = st.labels(spark, sf).select(*KEYS, "label", "scenario")
     return judged.join(known, KEYS).select(*KEYS, "split", "s", "label", "scenario", "alert")
@@ -347,4 +348,4 @@ SHARE = 0.3
 )
 def sweep_user_subsample(spark, sf):
     """A share of the users is the feature here: tuning on fewer people."""
-    return tune.subsample_users(st.user_days(spark, sf), SHARE, st.SEED).select(*KEYS, "n_events")
+    return tune.subsample_users(st.day_scores(spark, sf), SHARE, st.SEED).select(*KEYS, "n_events")

@@ -64,7 +64,7 @@ _BL = f"{q.BASE_SCORES}, {q.tiers('sc', ['s'])}"
 
 
 def _based(spark, sf, key=st.GROUP) -> DataFrame:
-    return tiers.baselines(st.user_days(spark, sf), ["s"], key, st.W, st.MIN_GROUP)
+    return tiers.baselines(st.grouped_days(spark, sf), ["s"], key, st.W, st.MIN_GROUP)
 
 
 def _combined(spark, sf, weighting: str) -> DataFrame:
@@ -99,18 +99,18 @@ def tier_personal(spark, sf):
 
 def _personal_z(spark, sf) -> DataFrame:
     """Deviation from the own past for user-days with enough of it."""
-    own = tiers.personal(st.user_days(spark, sf), ["s"], st.W).filter(F.col("n_p") >= st.MIN_HIST)
+    own = tiers.personal(st.day_scores(spark, sf), ["s"], st.W).filter(F.col("n_p") >= st.MIN_HIST)
     return own.withColumn("z", tiers.tier_z("s", st.SD_FLOOR)["p"])
 
 
 @query("tier_group", f"WITH {_BL} SELECT user_id, day, segment, {_three('g')} FROM bl")
 def tier_group(spark, sf):
-    return _show(tiers.group(st.user_days(spark, sf), ["segment"], ["s"], st.W), "g", "segment")
+    return _show(tiers.group(st.grouped_days(spark, sf), ["segment"], ["s"], st.W), "g", "segment")
 
 
 @query("tier_global", f"WITH {_BL} SELECT user_id, day, {_three('a')} FROM bl")
 def tier_global(spark, sf):
-    return _show(tiers.company(st.user_days(spark, sf), ["s"], st.W), "a")
+    return _show(tiers.company(st.day_scores(spark, sf), ["s"], st.W), "a")
 
 
 _SWITCH = {"segment": ["segment"], "region": ["region"], "segment+region": ["segment", "region"]}
@@ -131,7 +131,7 @@ def _switch_sql(label: str, keys: list[str]) -> str:
     f"WITH {q.BASE_SCORES} " + " UNION ALL ".join(_switch_sql(name, keys) for name, keys in _SWITCH.items()),
 )
 def group_key_switch(spark, sf):
-    ud = stored(st.user_days(spark, sf))
+    ud = stored(st.grouped_days(spark, sf))
     out = None
     for name, keys in _SWITCH.items():
         one = _show(tiers.group(ud, keys, ["s"], st.W), "g").withColumn("group_key", F.lit(name))
@@ -141,7 +141,7 @@ def group_key_switch(spark, sf):
 
 @query("min_group_size", f"WITH {_BL} SELECT user_id, day, segment, n_users, group_ok FROM bl")
 def min_group_size(spark, sf):
-    return tiers.guard_group(st.user_days(spark, sf), ["segment"], st.MIN_GROUP).select(
+    return tiers.guard_group(st.grouped_days(spark, sf), ["segment"], st.MIN_GROUP).select(
         *KEYS, "segment", "n_users", "group_ok"
     )
 
@@ -217,8 +217,8 @@ tq AS (SELECT *, CASE WHEN count(s) OVER w >= {st.MIN_HIST} THEN quantile_cont(s
        FROM sc WINDOW w AS {q.past('user_id', st.W_TAU)})"""
 
 
-def _own_tau(spark, sf, p: float = st.P) -> DataFrame:
-    return threshold.quantile_threshold(st.user_days(spark, sf), "s", p, st.W_TAU, st.MIN_HIST)
+def _own_tau(spark, sf) -> DataFrame:
+    return threshold.quantile_threshold(st.day_scores(spark, sf), "s", st.P, st.W_TAU, st.MIN_HIST)
 
 
 @query("threshold_quantile", f"WITH {_TAU} SELECT user_id, day, s, round(tau, 6) AS tau FROM tq")
@@ -242,7 +242,7 @@ own AS (SELECT user_id, block, quantile_cont(s, {st.P}) AS tau FROM hist GROUP B
         FROM blk LEFT JOIN own USING (user_id, block)""",
 )
 def threshold_refresh(spark, sf):
-    ud = stored(st.user_days(spark, sf))
+    ud = stored(st.day_scores(spark, sf))
     held = threshold.refreshed_threshold(ud, "s", st.P, st.W_TAU, st.REFRESH, st.MIN_HIST)
     return rounded(held, ["tau"]).select(*KEYS, "block", "s", "tau")
 
@@ -259,7 +259,7 @@ al AS (SELECT block, quantile_cont(s, {st.P}) AS tau_a FROM hist GROUP BY block
         FROM blk LEFT JOIN own USING (user_id, block) LEFT JOIN grp USING (segment, block) LEFT JOIN al USING (block)""",
 )
 def threshold_cold_start(spark, sf):
-    ud = stored(st.user_days(spark, sf))
+    ud = stored(st.grouped_days(spark, sf))
     out = threshold.cold_start_threshold(ud, "s", st.P, st.W_TAU, st.REFRESH, st.MIN_HIST, st.GROUP)
     return rounded(out, ["tau"]).select(*KEYS, "tau", "tau_from")
 
@@ -267,7 +267,7 @@ def threshold_cold_start(spark, sf):
 @query("threshold_cold_start_sketch")
 def threshold_cold_start_sketch(spark, sf):
     """The same with approximate group and company quantiles."""
-    ud = stored(st.user_days(spark, sf))
+    ud = stored(st.grouped_days(spark, sf))
     out = threshold.cold_start_threshold(ud, "s", st.P, st.W_TAU, st.REFRESH, st.MIN_HIST, st.GROUP, sketch=True)
     return rounded(out, ["tau"]).select(*KEYS, "tau", "tau_from")
 
@@ -279,7 +279,8 @@ def threshold_cold_start_sketch(spark, sf):
 )
 def select_p_fixed(spark, sf):
     p = threshold.select_p("fixed", p=st.P)
-    return _own_tau(spark, sf, p).groupBy("split").agg(
+    with_tau = threshold.quantile_threshold(st.split_days(spark, sf), "s", p, st.W_TAU, st.MIN_HIST)
+    return with_tau.groupBy("split").agg(
         F.lit(p).alias("p"), F.count("tau").alias("n_with_tau"),
         F.count_if(F.col("s") - F.col("tau") > threshold.EPS).alias("n_alerts"),
     )
@@ -300,7 +301,7 @@ ch AS (SELECT coalesce(min(p) FILTER (n_alerts <= {st.BUDGET} * n), max(p)) AS p
         CAST(p = pick AS INTEGER) AS chosen FROM cv, nd, ch""",
 )
 def select_p_budget(spark, sf):
-    curve = threshold.budget_curve(st.user_days(spark, sf), "s", GRID, budget=st.BUDGET)
+    curve = threshold.budget_curve(st.split_days(spark, sf), "s", GRID, budget=st.BUDGET)
     return rounded(curve, ["alerts_per_day"])
 
 

@@ -125,10 +125,19 @@ def cuts(spark: SparkSession, sf: str):
     return split.cut_points(events(spark, sf).select("day"), SHARES, "day")
 
 
-def user_days(spark: SparkSession, sf: str) -> DataFrame:
-    """User-days with their part by time, group attributes and the count score s."""
-    ud = normalise.user_days(events(spark, sf)).withColumn("s", F.col("n_events").cast("double"))
-    return split.split_at(ud, *cuts(spark, sf)).join(people(spark, sf), "user_id", "left")
+def day_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """User-days with the count score s."""
+    return normalise.user_days(events(spark, sf)).withColumn("s", F.col("n_events").cast("double"))
+
+
+def split_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with their part by time."""
+    return split.split_at(day_scores(spark, sf), *cuts(spark, sf))
+
+
+def grouped_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the group attributes of the user."""
+    return day_scores(spark, sf).join(people(spark, sf), "user_id", "left")
 
 
 def count_table(spark: SparkSession, sf: str, cut=None) -> DataFrame:
