@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilday.functions.joins import lookup_join
 from vigilday.functions.storage import stored
 
 MAX_GROUP = 2_000_000
@@ -56,22 +55,28 @@ def running_sums(
         )
     )
     parts = cut.groupBy(*keys, "_slice").agg(*[F.sum(e).alias(f"_{n}") for n, e in sums.items()])
-    # at most one row per slice and group from here on
+    # only a group that goes on in the next slice needs the sums of its earlier
+    # slices; a slice has at most one such group, so these rows are bounded by
+    # the number of slices
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = {f"_{n}_before": F.sum(f"_{n}").over(before) for n in sums}
-    whole = {f"{n}_total": F.sum(f"_{n}").over(group) for n in sums} if totals else {}
-    offsets = parts.withColumns({**earlier, **whole}).drop(*[f"_{n}" for n in sums])
-    inside = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = {f"_{n}_before": F.sum(f"_{n}").over(before) for n in sums}
+    known |= {f"_{n}_whole": F.sum(f"_{n}").over(group) for n in sums}
+    spanning = (
+        parts.withColumns({**known, "_slices": F.count(F.lit(1)).over(group)})
+        .filter("_slices > 1")
+        .select(*keys, "_slice", *known)
     )
-    out = cut.withColumns({n: F.sum(e).over(inside) for n, e in sums.items()})
-    out = lookup_join(out, offsets, [*keys, "_slice"])
-    return out.withColumns(
-        {n: F.col(n) + F.coalesce(f"_{n}_before", F.lit(0)) for n in sums}
-    ).drop("_slice", *[f"_{n}_before" for n in sums])
+    one = Window.partitionBy(*keys, "_slice")
+    upto = one.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = {n: F.sum(e).over(upto) for n, e in sums.items()}
+    if totals:
+        local |= {f"{n}_total": F.sum(e).over(one) for n, e in sums.items()}
+    out = cut.withColumns(local).join(F.broadcast(spanning), [*keys, "_slice"], "left")
+    final = {n: F.col(n) + F.coalesce(f"_{n}_before", F.lit(0)) for n in sums}
+    if totals:
+        final |= {f"{n}_total": F.coalesce(f"_{n}_whole", f"{n}_total") for n in sums}
+    return out.withColumns(final).drop("_slice", *known)
 
 
 def positions(

@@ -83,11 +83,18 @@ def neighbours(seq: DataFrame, back: int = 1, ahead: int = 0, size: int = SLICE)
     are repeated in the neighbouring slice, serve there as context only and are
     dropped again, so a day of any length is spread over tasks.
     """
-    own = F.floor((F.col("pos") - 1) / size)
-    reach = F.array_distinct(
-        F.array(own, F.floor((F.col("pos") - 1 + back) / size), F.floor((F.col("pos") - 1 - ahead) / size))
+    if size < max(back, ahead):
+        raise ValueError("a slice must be at least as long as the context")
+    place = F.col("pos") - 1
+    own = F.floor(place / size)
+    last, first = place % size >= size - back, (place % size < ahead) & (own > 0)
+    reach = (
+        F.when(last & first, F.array(own - 1, own, own + 1))
+        .when(last, F.array(own, own + 1))
+        .when(first, F.array(own - 1, own))
+        .otherwise(F.array(own))
     )
-    spread = seq.withColumn("_own", own).withColumn("_slice", F.explode(F.filter(reach, lambda s: s >= 0)))
+    spread = seq.withColumn("_own", own).withColumn("_slice", F.explode(reach))
     w = Window.partitionBy(*KEYS, "_slice").orderBy("pos")
     added = {f"prev{i}": F.coalesce(F.lag("token", i).over(w), F.lit(START)) for i in range(1, back + 1)}
     added |= {f"next{i}": F.coalesce(F.lead("token", i).over(w), F.lit(END)) for i in range(1, ahead + 1)}

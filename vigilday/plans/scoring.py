@@ -309,7 +309,7 @@ def select_p_budget(spark, sf):
     "budget_top_b",
     f"""WITH {_TAU}, r AS (SELECT user_id, day, s AS score, tau, s - tau AS margin,
           row_number() OVER (PARTITION BY day ORDER BY round(s - tau, 9) DESC, user_id) AS rank FROM tq WHERE s - tau > 1e-9)
-        SELECT user_id, day, score, round(tau, 6) AS tau, round(margin, 6) AS margin, rank FROM r WHERE rank <= {st.BUDGET}""",
+        SELECT user_id, day, score, round(tau, 6) AS tau, round(margin, 6) AS margin, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {st.BUDGET}""",
 )
 def budget_top_b(spark, sf):
     return rounded(threshold.cap(threshold.alerts(_own_tau(spark, sf), "s"), st.BUDGET), ["tau", "margin"])
