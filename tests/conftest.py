@@ -5,14 +5,18 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from vigilday.functions.storage import drop_stored  # noqa: E402
 from vigilday.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, "tests", str(tmp_path_factory.mktemp("shared")))
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session(4, "tests", str(shared))
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_stored(session)
+    assert not list(shared.glob("*/stored-*"))
     session.stop()
 
 

@@ -14,14 +14,10 @@ SALTS = 32
 
 def fits_broadcast(table: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
     """Measure ``table``: few enough rows, and few enough bytes in them."""
-    seen = (
-        table.limit(max_rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size"),
-        )
-        .first()
-    )
+    seen = table.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size"),
+    ).first()
     return seen["n"] <= max_rows and seen["size"] <= max_bytes
 
 
