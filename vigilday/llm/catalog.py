@@ -1,4 +1,15 @@
 """All queries of the operators, collected from their modules."""
 
-from vigilday.llm import packing, simhash, tokencount  # noqa: F401
+from vigilday.llm import (  # noqa: F401
+    ann,
+    chat,
+    licenses,
+    mixing,
+    neardup,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    tokencount,
+)
 from vigilday.llm.registry import QUERIES, SQL  # noqa: F401
