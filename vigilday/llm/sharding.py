@@ -52,7 +52,6 @@ def shuffled_shards(
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     marked = docs.select(
         F.pmod(key, F.lit(buckets)).alias("_bucket"),
-        F.lit(0).alias("_part"),
         key.alias("_key"),
         size.alias("_size"),
         F.struct(*names).alias("_row"),
@@ -60,27 +59,26 @@ def shuffled_shards(
     measured = stored(marked.groupBy("_bucket").agg(F.count("*").alias("n"), F.sum("_size").alias("size")))
     large = measured.filter((F.col("size") > OVERSIZE * bucket_bytes) & (F.col("n") > 1))
     if not large.isEmpty():
-        parts = F.ceil(F.col("size") / bucket_bytes).cast("int")
+        parts = F.ceil(F.col("size") / bucket_bytes).cast("long")
         place = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
+        part = F.coalesce(F.pmod("_place", F.col("_parts")), F.lit(0).cast("long"))
         marked = (
             marked.withColumn("_place", place)
             .join(large.select("_bucket", parts.alias("_parts")), "_bucket", "left")
-            .withColumn("_part", F.coalesce(F.pmod("_place", F.col("_parts")), F.lit(0)).cast("int"))
+            .withColumn("_bucket", F.col("_bucket") + part * buckets)
             .drop("_place", "_parts")
         )
-        measured = stored(marked.groupBy("_bucket", "_part").agg(F.count("*").alias("n")))
-    else:
-        measured = measured.withColumn("_part", F.lit(0))
+        measured = stored(marked.groupBy("_bucket").agg(F.count("*").alias("n")))
     # one row per bucket: a running sum over buckets, not over rows
-    before = Window.orderBy("_bucket", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = measured.select("_bucket", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = measured.select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     tasks = max(1, -(-buckets // 4))
     permuted = (
-        marked.repartition(tasks, "_bucket", "_part")
-        .groupBy("_bucket", "_part")
+        marked.repartition(tasks, "_bucket")
+        .groupBy("_bucket")
         .agg(F.sort_array(F.collect_list(F.struct("_key", "_row"))).alias("_rows"))
-        .join(offsets, ["_bucket", "_part"])
-        .sortWithinPartitions("_bucket", "_part")
+        .join(offsets, "_bucket")
+        .sortWithinPartitions("_bucket")
         .select("_before", F.shuffle("_rows", seed).alias("_rows"))
         .select("_before", F.posexplode("_rows").alias("_pos", "_item"))
     )
