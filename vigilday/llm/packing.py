@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +30,7 @@ MODEL = "word_bpe_49k.json"
 SEQ_LEN = 2048
 END = b"\0\0\0\0"
 # words whose ids a worker keeps (in two generations), and the longest that is kept
-KEPT = 300_000
+KEPT = 450_000
 KEPT_CHARS = 64
 WORDS = re.compile(r"[^ \t\n\r]+")
 # The tokenizer's own split into words, and the same for lower-cased texts whose
@@ -41,56 +40,79 @@ PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
-class Words(dict):
+class Words:
     """Ids of words (little-endian unsigned 32-bit), kept since the last ``KEPT`` new ones."""
 
     def __init__(self, encode):
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            ids = self.encode(word)
-            found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= KEPT_CHARS:
-            if len(self) >= KEPT:
-                self.older = dict(self)
-                self.clear()
-            self[word] = found
-        return found
+        self.encode = encode
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def joined(self, words: list[str]) -> bytes:
+        """The ids of words in turn. Those that are new are encoded together."""
+        known, new = self.known, []
+        for word in set(words).difference(known):
+            ids = self.older.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                known[word] = ids
+        if new:
+            known.update(zip(new, self.encode(new)))
+        out = b"".join(map(known.__getitem__, words))
+        for word in new:
+            if len(word) > KEPT_CHARS:
+                del known[word]
+        if len(known) > KEPT:
+            self.older, self.known = known, {}
+        return out
 
 
 class Encoder:
-    """Ids of texts for one byte-level tokenizer that drops white space.
+    """Ids of texts for one byte-level tokenizer that drops white space and marks the ends of words.
 
     No token and no normalisation reaches across ASCII white space, so a text's ids are those
     of its words in turn, and each word is encoded once while it is remembered. Plain texts without
-    special strings are split further, as the tokenizer itself does, so that there are fewer different words.
+    special strings are split further, as the tokenizer itself does, so that there are fewer different words. The
+    new words of a text are encoded together and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        steps = json.loads(tokenizer.to_str())["pre_tokenizer"]
+        self.tokenizer = Tokenizer.from_file(path)
+        config = json.loads(self.tokenizer.to_str())
+        steps = config["pre_tokenizer"]
         patterns = [p["pattern"].get("Regex") for p in steps.get("pretokenizers", [steps]) if "pattern" in p]
-        # the printable stand-ins of bytes: themselves if printable, else the characters from 256 on, in turn
-        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        others = [b for b in range(256) if b not in printable]
-        stands = {b: 256 + i for i, b in enumerate(others)}
-        model = tokenizer.model
-        self.words = Words(lambda word: tokenizer.encode(word, add_special_tokens=False).ids)
-        self.parts = Words(lambda word: [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(stands))])
-        self.splits = SPLIT in patterns
+        suffix = config["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+        self.words, self.parts = Words(self.each), Words(self.together)
+        self.splits = bool(suffix) and SPLIT in patterns
         probe = "ab'll  c1\tÉßà<|endoftext|>\n x"
         for text in (probe, probe.replace("<|", "")):
-            if struct.pack(f"<{len(ids := tokenizer.encode(text, add_special_tokens=False).ids)}I", *ids) != self.ids(text):
-                raise ValueError(f"{path}: tokens reach across white space, or are made otherwise")
+            if self.encode(text).tobytes() != self.ids(text):
+                raise ValueError(f"{path}: tokens reach across white space, or words do not end in tokens of their own")
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def each(self, words: list[str]) -> list[bytes]:
+        return [self.encode(w).tobytes() for w in words]
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """Encode plain words as one text and cut the ids behind each token that ends a word."""
+        ids = self.encode(" ".join(words))
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            raise ValueError("a word does not end in one token of its own")
+        whole = ids.tobytes()
+        return [whole[s:e] for s, e in zip([0, *ends], ends)]
 
     def ids(self, text: str) -> bytes:
         if self.splits and "<|" not in text and PLAIN.fullmatch(text):
-            return b"".join(map(self.parts.__getitem__, PLAIN_SPLIT.findall(text.lower())))
-        return b"".join(map(self.words.__getitem__, WORDS.findall(text)))
+            return self.parts.joined(PLAIN_SPLIT.findall(text.lower()))
+        return self.words.joined(WORDS.findall(text))
 
 
 @lru_cache(maxsize=4)
