@@ -52,6 +52,8 @@ def encode(text: bytes) -> np.ndarray:
     codes = np.frombuffer(text, np.uint8).astype(np.int64)
     place = np.arange(len(codes)) // PASSAGE
     pairs = np.bincount(place[1:] * PAIRS + _column[codes[:-1] << 8 | codes[1:]], minlength=n * PAIRS).reshape(n, PAIRS) if len(codes) > 1 else np.zeros((n, PAIRS))
+    border = np.arange(PASSAGE, len(codes), PASSAGE)
+    pairs[border // PASSAGE, _column[codes[border - 1] << 8 | codes[border]]] -= 1  # a pair across two passages is in neither
     kinds = len(CLASSES) + 1
     classes = np.bincount(place * kinds + _class[codes], minlength=n * kinds).reshape(n, kinds)
     seen = pairs.sum(1, keepdims=True)
