@@ -30,7 +30,7 @@ MODEL = "word_bpe_49k.json"
 SEQ_LEN = 2048
 END = b"\0\0\0\0"
 # words whose ids a worker keeps (in two generations), and the longest that is kept
-KEPT = 450_000
+KEPT = 300_000
 KEPT_CHARS = 64
 WORDS = re.compile(r"[^ \t\n\r]+")
 # The tokenizer's own split into words, and the same for lower-cased texts whose
@@ -50,22 +50,24 @@ class Words:
 
     def joined(self, words: list[str]) -> bytes:
         """The ids of words in turn. Those that are new are encoded together."""
-        known, new = self.known, []
-        for word in set(words).difference(known):
-            ids = self.older.get(word)
-            if ids is None:
-                new.append(word)
-            else:
-                known[word] = ids
-        if new:
-            known.update(zip(new, self.encode(new)))
-        out = b"".join(map(known.__getitem__, words))
-        for word in new:
-            if len(word) > KEPT_CHARS:
-                del known[word]
-        if len(known) > KEPT:
-            self.older, self.known = known, {}
-        return out
+        known = self.known
+        found = list(map(known.get, words))
+        if None in found:
+            spots, at = [], -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                spots.append(at)
+            missing = {words[i] for i in spots}
+            here = {w: self.older[w] for w in missing if w in self.older}
+            new = list(missing.difference(here))
+            if new:
+                here.update(zip(new, self.encode(new)))
+            for i in spots:
+                found[i] = here[words[i]]
+            known.update((w, ids) for w, ids in here.items() if len(w) <= KEPT_CHARS)
+            if len(known) > KEPT:
+                self.older, self.known = known, {}
+        return b"".join(found)
 
 
 class Encoder:
