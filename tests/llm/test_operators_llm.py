@@ -274,7 +274,7 @@ def test_near_duplicate_vectors_equal_brute_force(spark):
     labels = [None if i % 17 == 0 else i % 2 for i in range(len(x))]
     rows = [(i, v.tolist(), y) for i, (v, y) in enumerate(zip(x, labels))]
     bad = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("inf")] * 16, 1), (903, [1.0] * 3, 0)]
-    got = neardup.near_duplicates(vectors(spark, rows + bad, True)).toPandas().set_index("vec_id")
+    got = neardup.near_duplicates(vectors(spark, rows + bad, True)).toPandas().set_index("vec_id").sort_index()
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     close = unit @ unit.T >= 0.93
     close &= np.array([[a is not None and a == b for b in labels] for a in labels])
@@ -282,8 +282,8 @@ def test_near_duplicate_vectors_equal_brute_force(spark):
     least = np.arange(len(x))
     for _ in x:
         least = np.minimum(least, np.where(close, least[None, :], len(x)).min(1))
-    assert got.n_links[: len(x)].tolist() == close.sum(1).tolist()
-    assert got.component_id[: len(x)].tolist() == least.tolist()
+    assert got.n_links.iloc[: len(x)].tolist() == close.sum(1).tolist()
+    assert got.component_id.iloc[: len(x)].tolist() == least.tolist()
     assert (got.loc[900:903].n_links == 0).all() and got.loc[900:903].kept.all()
 
 
