@@ -164,8 +164,7 @@ def test_lists_short_and_long_agree(spark):
     words = spark.createDataFrame([("key",), ("secret",), ("zebra",)], "word string")
     want = [("a", 8, 3, 2), ("b", 0, 0, 0), ("c", 2, 1, 1)]
     assert rows(features.keyword_features(texts, words, ["user_id"])) == want
-    assert rows(features.keyword_features(texts, words, ["user_id"], max_list=1)) == want
-    assert rows(features.keyword_features(texts, words, ["user_id"], max_list=1, max_rows=0)) == want
+    assert rows(features.keyword_features(texts, words, ["user_id"], max_rows=0)) == want
 
 
 def test_domain_list_broadcast_and_salted_agree(spark, events):

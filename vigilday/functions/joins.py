@@ -34,12 +34,15 @@ def lookup_join(
 
     ``table`` is stored, then measured. Within the bounds it is broadcast, so
     ``large`` is not shuffled at all. Beyond them the join shuffles, and every
-    key of ``large`` is spread over ``salts`` tasks by a hash of its whole row
-    (``table`` is repeated that often), so that no key is one task's work.
+    key of ``large`` is spread over ``salts`` tasks by a hash of its row
+    (``table`` is repeated that often), so that no key is one task's work. Rows
+    that may be equal must be counted, or numbered, by the caller first: equal
+    rows get one salt. Map columns, which have no hash, are left out of it.
     """
     table = stored(table)
     if fits_broadcast(table, max_rows, max_bytes):
         return large.join(F.broadcast(table), on, how)
-    salt = F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int")
+    hashed = [c for c, kind in large.dtypes if "map<" not in kind]
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
     spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return large.withColumn("_salt", salt).join(spread, [*on, "_salt"], how).drop("_salt")

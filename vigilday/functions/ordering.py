@@ -37,7 +37,8 @@ def running_sums(
     into slices by range of (keys, order), which splits a large group; the cut
     is stored, because a recomputed cut could fall elsewhere; each slice is
     summed by itself and the sums of the slices before it are added. ``largest``
-    saves the count of the groups when it is known.
+    saves the count of the groups when it is known. Both ways agree on NULLs: a
+    NULL key is a group, and a sum is NULL until its first value.
     """
     keys = list(keys)
     if (largest_group(df, keys) if largest is None else largest) <= max_group:
@@ -65,18 +66,23 @@ def running_sums(
     spanning = (
         parts.withColumns({**known, "_slices": F.count(F.lit(1)).over(group)})
         .filter("_slices > 1")
-        .select(*keys, "_slice", *known)
+        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_slice").alias("_in"), *known)
     )
+    same = F.col("_slice") == F.col("_in")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     one = Window.partitionBy(*keys, "_slice")
     upto = one.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {n: F.sum(e).over(upto) for n, e in sums.items()}
     if totals:
         local |= {f"{n}_total": F.sum(e).over(one) for n, e in sums.items()}
-    out = cut.withColumns(local).join(F.broadcast(spanning), [*keys, "_slice"], "left")
-    final = {n: F.col(n) + F.coalesce(f"_{n}_before", F.lit(0)) for n in sums}
+    out = cut.withColumns(local).join(F.broadcast(spanning), same, "left")
+    final = {
+        n: F.coalesce(F.col(n) + F.coalesce(f"_{n}_before", F.lit(0)), F.col(f"_{n}_before")) for n in sums
+    }
     if totals:
         final |= {f"{n}_total": F.coalesce(f"_{n}_whole", f"{n}_total") for n in sums}
-    return out.withColumns(final).drop("_slice", *known)
+    return out.withColumns(final).drop("_slice", "_in", *[f"_key_{k}" for k in keys], *known)
 
 
 def positions(

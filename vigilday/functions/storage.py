@@ -20,7 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="vigilday-")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="vigilday-"))
+        return context.getCheckpointDir()
     if not context.getCheckpointDir():
         context.setCheckpointDir(configured)
     return configured

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from vigilday.functions.joins import lookup_join
 
 KEYS = ["user_id", "day"]
-MAX_LIST = 5_000
 
 
 def count_features(events: DataFrame, actions: Sequence[str], by: str = "action") -> DataFrame:
@@ -48,12 +47,12 @@ def fit_list(train: DataFrame, item: str, top_n: int, min_users: int) -> DataFra
 def domain_list_features(web: DataFrame, domains: DataFrame, **bounds) -> DataFrame:
     """Web events per user-day, those whose host is on the list, and how many such hosts.
 
-    Hosts off the list become one NULL before anything is counted, so the
-    shuffle carries a row per user-day and listed host.
+    Visits are counted by user-day and host before the join, so that a user who
+    visits one host all day is one row of it.
     """
     listed = domains.select("host").distinct().withColumn("_listed", F.col("host"))
-    marked = lookup_join(web.select(*KEYS, "host"), listed, ["host"], **bounds)
-    per_host = marked.groupBy(*KEYS, "_listed").agg(F.count(F.lit(1)).alias("_n"))
+    visits = web.groupBy(*KEYS, "host").agg(F.count(F.lit(1)).alias("_n"))
+    per_host = lookup_join(visits, listed, ["host"], **bounds)
     return per_host.groupBy(*KEYS).agg(
         F.sum("_n").alias("n_web"),
         F.coalesce(F.sum(F.when(F.col("_listed").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_listed"),
@@ -62,46 +61,41 @@ def domain_list_features(web: DataFrame, domains: DataFrame, **bounds) -> DataFr
 
 
 def words_of(text: Column) -> Column:
-    """The lower-case words of a text: its runs of ASCII letters, digits and underscore."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
+    """The lower-case words of a text: its runs of letters, marks, digits and underscore in any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
 
 
 def keyword_features(
-    texts: DataFrame, keywords: DataFrame, keys: Sequence[str] = KEYS, max_list: int = MAX_LIST, **bounds
+    texts: DataFrame, keywords: DataFrame, keys: Sequence[str] = KEYS, **bounds
 ) -> DataFrame:
     """Words, listed words and different listed words in the whole texts of each key.
 
-    A list of up to ``max_list`` words is tested inside the row, and only a
-    text's length and its listed words are shuffled. A longer list is joined.
+    While the list is within the bounds of a broadcast, words off it become one
+    NULL and are counted before the shuffle. Beyond them each word is joined by
+    itself; its place in the text keeps equal words apart for the salt.
     """
-    words = words_of(F.col("text"))
-    listed = [r[0] for r in keywords.select("word").distinct().limit(max_list + 1).collect()]
-    if len(listed) <= max_list:
-        split = texts.select(*keys, F.coalesce(words, F.array().cast("array<string>")).alias("_words"))
-        hits = F.filter("_words", lambda w: w.isin(listed))
-        rows = F.concat(
-            F.array(F.struct(F.lit(None).cast("string").alias("word"), F.size("_words").alias("_all"), F.lit(0).alias("_hit"))),
-            F.transform(hits, lambda w: F.struct(w.alias("word"), F.lit(0).alias("_all"), F.lit(1).alias("_hit"))),
-        )
-        counts = (
-            split.select(*keys, F.explode(rows).alias("_r"))
-            .groupBy(*keys, F.col("_r.word").alias("_listed"))
-            .agg(F.sum("_r._all").alias("_all"), F.sum("_r._hit").alias("_hit"))
-        )
-    else:
-        each = texts.select(*keys, F.explode_outer(words).alias("word"))
-        known = keywords.select("word").distinct().withColumn("_listed", F.col("word"))
-        counts = lookup_join(each, known, ["word"], **bounds).groupBy(*keys, "_listed").agg(
-            F.count("word").alias("_all"), F.count("_listed").alias("_hit")
-        )
+    each = texts.select(*keys, F.posexplode_outer(words_of(F.col("text"))).alias("_place", "word"))
+    known = keywords.select("word").distinct().withColumn("_listed", F.col("word"))
+    counts = lookup_join(each, known, ["word"], **bounds).groupBy(*keys, "_listed").agg(
+        F.count("word").alias("_all"), F.count("_listed").alias("_hit")
+    )
     return counts.groupBy(*keys).agg(
         F.sum("_all").alias("n_words"), F.sum("_hit").alias("n_hits"), F.count("_listed").alias("n_keywords")
     )
 
 
 def breadth_features(events: DataFrame) -> DataFrame:
-    """Different objects and logs touched in a user-day, and the summed amount."""
-    per_object = events.groupBy(*KEYS, "object", "log").agg(F.sum("qty").alias("_qty"))
+    """Different objects and logs touched in a user-day, and the summed amount.
+
+    Events with a list ``objects`` (all recipients of an email) touch each of
+    them; the amount of such an event is counted once.
+    """
+    each = events.select(*KEYS, "object", "log", "qty")
+    if "objects" in events.columns:
+        each = events.select(
+            *KEYS, "log", "qty", F.posexplode_outer("objects").alias("_place", "object")
+        ).withColumn("qty", F.when(F.coalesce("_place", F.lit(0)) == 0, F.col("qty")))
+    per_object = each.groupBy(*KEYS, "object", "log").agg(F.sum("qty").alias("_qty"))
     per_object = per_object.groupBy(*KEYS, "object").agg(
         F.sum("_qty").alias("_qty"), F.collect_set("log").alias("_logs")
     )

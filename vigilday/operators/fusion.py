@@ -18,26 +18,30 @@ def align(s_f: DataFrame, s_s: DataFrame, fill: float = 0.0) -> DataFrame:
 
 
 def normalise_rank(scores: DataFrame, columns: Sequence[str], max_group: int = MAX_GROUP) -> DataFrame:
-    """Replace scores by their percent rank within the day.
+    """Replace scores by their percent rank among the scores of the day.
 
-    A day with at most ``max_group`` users is one window group. Beyond that
+    A NULL score stays NULL and counts in no rank; a lone score has rank 0. A day with at most ``max_group`` users is one window group. Beyond that
     equal scores are counted, the counts summed in score order over slices, and
     the rank of each score is looked up.
     """
     if largest_group(scores, ["day"]) <= max_group:
-        return scores.withColumns(
-            {c: F.percent_rank().over(Window.partitionBy("day").orderBy(c)) for c in columns}
-        )
+        of_day = Window.partitionBy("day")
+        place = {c: F.rank().over(of_day.orderBy(F.col(c).asc_nulls_last())) - 1 for c in columns}
+        others = {c: F.count(c).over(of_day) - 1 for c in columns}
+        return scores.withColumns({
+            c: F.when(F.col(c).isNotNull(), F.when(others[c] == 0, 0.0).otherwise(place[c] / others[c]))
+            for c in columns
+        })
     out = scores
     for c in columns:
-        counts = stored(out.groupBy("day", c).agg(F.count(F.lit(1)).alias("_n")))
+        counts = stored(out.filter(F.col(c).isNotNull()).groupBy("day", c).agg(F.count(F.lit(1)).alias("_n")))
         upto = running_sums(counts, ["day"], [F.col(c)], {"_upto": F.col("_n")}, True, max_group)
         rank = F.when(F.col("_upto_total") == 1, 0.0).otherwise(
             (F.col("_upto") - F.col("_n")) / (F.col("_upto_total") - 1)
         )
         ranks = upto.select("day", c, rank.alias("_rank"))
         out = lookup_join(out, ranks, ["day", c]).withColumn(c, F.col("_rank")).drop("_rank")
-    return out
+    return out.select(*scores.columns)
 
 
 def normalise_z(

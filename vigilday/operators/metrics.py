@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,9 +12,19 @@ from vigilday.functions.ordering import MAX_GROUP, positions, running_sums
 from vigilday.functions.storage import stored
 from vigilday.functions.windows import unit_hash
 
-# Cumulative probabilities of a Poisson(1) draw being at most 0, 1, 2 ... 7.
-POISSON_CUTS = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
-POISSON_TOP = 7
+
+
+def poisson_cuts(steps: float = 2.0**32) -> list[float]:
+    """Chances of a Poisson(1) draw of at most 0, 1, 2 ..., as far as a hash of ``steps`` values tells them from 1."""
+    cuts, term, total = [], math.exp(-1.0), 0.0
+    while total < 1.0 - 1.0 / steps:
+        total += term
+        cuts.append(round(total, 12))
+        term /= len(cuts)
+    return cuts
+
+
+POISSON_CUTS = poisson_cuts()
 
 
 def confusion(judged: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
@@ -109,7 +120,7 @@ def poisson_weight(*key: Column | str) -> Column:
     drawn = F.lit(0)
     for cut in POISSON_CUTS:
         drawn = drawn + (u >= cut).cast("int")
-    return F.least(drawn, F.lit(POISSON_TOP))
+    return drawn
 
 
 def bootstrap(

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from vigilday.sources.cert import email_columns, web_columns
 
-EVENT_COLUMNS = ["event_id", "ts", "user_id", "day", "log", "action", "object", "qty", "month"]
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "day", "log", "action", "object", "objects", "qty", "month"]
 
 
-def _event(log: str, action, obj, qty) -> list:
+def _event(log: str, action, obj, qty, objects=None) -> list:
     return [
         F.col("id").alias("event_id"),
         F.col("ts"),
@@ -21,6 +21,7 @@ def _event(log: str, action, obj, qty) -> list:
         F.lit(log).alias("log"),
         action.alias("action"),
         obj.alias("object"),
+        (F.array_compact(F.array(obj)) if objects is None else objects).alias("objects"),
         qty.cast("double").alias("qty"),
         F.date_format("ts", "yyyy-MM").alias("month"),
     ]
@@ -29,8 +30,8 @@ def _event(log: str, action, obj, qty) -> list:
 def normalise(logs: dict[str, DataFrame]) -> DataFrame:
     """One schema for the five logs (any subset of them).
 
-    The object is the machine, file, first-named recipient or host; the amount
-    is the size of an email and 1 otherwise. Text columns are not selected.
+    The object is the machine, file, first-named recipient or host, and
+    ``objects`` all of them (every recipient of an email); the amount is the size of an email and 1 otherwise. Text columns are not selected.
     """
     one = F.lit(1.0)
     shapes = {
@@ -38,7 +39,7 @@ def normalise(logs: dict[str, DataFrame]) -> DataFrame:
         "device": lambda d: d.select(_event("device", F.lower("activity"), F.col("pc"), one)),
         "file": lambda d: d.select(_event("file", F.lit("copy"), F.col("filename"), one)),
         "email": lambda d: email_columns(d).select(
-            _event("email", F.lit("send"), F.try_element_at("recipients", F.lit(1)), F.col("size"))
+            _event("email", F.lit("send"), F.try_element_at("recipients", F.lit(1)), F.col("size"), F.col("recipients"))
         ),
         "http": lambda d: web_columns(d).select(_event("http", F.lit("visit"), F.col("host"), one)),
     }

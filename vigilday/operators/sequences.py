@@ -39,13 +39,17 @@ def tokens(flagged: DataFrame, **bounds) -> DataFrame:
 def token_arrays(seq: DataFrame, size: int = SLICE) -> DataFrame:
     """Tokens of a user-day as arrays, one per ``size`` places.
 
-    A usual day is one array (chunk 0); a day longer than ``size`` has several
-    rows, because a row must stay within one task's memory.
+    The key is (user_id, day, chunk), and every row says in ``n_chunks`` how many
+    make up its day: one for a usual day, more for a day longer than ``size``,
+    because a row must stay within one task's memory.
     """
     return (
         seq.groupBy(*KEYS, F.floor((F.col("pos") - 1) / size).alias("chunk"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
-        .select(*KEYS, "chunk", F.transform("_t", lambda t: t["token"]).alias("tokens"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"),
+            (F.floor((F.max("pos_total") - 1) / size) + 1).alias("n_chunks"),
+        )
+        .select(*KEYS, "chunk", "n_chunks", F.transform("_t", lambda t: t["token"]).alias("tokens"))
     )
 
 
@@ -204,6 +208,20 @@ def day_score(steps: DataFrame, agg: str = "mean", keys: Sequence[str] = KEYS) -
     raise ValueError(f"unknown aggregation {agg}")
 
 
+def masked_score(steps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Mean surprise ``s_s`` of a day's ``n_masked`` masked places.
+
+    ``steps`` has ``n`` places and ``n_masked`` masked ones per step. A day
+    without a masked place is scored at all its places, so every day has a score.
+    """
+    masked = F.sum("n_masked")
+    return steps.groupBy(*keys).agg(
+        F.when(masked > 0, F.try_divide(F.sum(F.col("nll") * F.col("n_masked")), masked))
+        .otherwise(F.try_divide(F.sum(F.col("nll") * F.col("n")), F.sum("n"))).alias("s_s"),
+        masked.alias("n_masked"),
+    )
+
+
 def seeded_scores(near: DataFrame, model: CountModel, ratio: float, seeds: Sequence[int], **bounds) -> DataFrame:
     """Mean surprise of the masked places under each seed: seed, user_id, day, s_s.
 

@@ -16,6 +16,9 @@ from vigilday.functions.joins import lookup_join
 from vigilday.functions.storage import stored
 from vigilday.functions.windows import trailing
 
+# share of a sum of squares that must remain for a difference with it to keep its digits
+KEPT_DIGITS = 1e-3
+
 
 def personal(ud: DataFrame, columns: Sequence[str], days: int) -> DataFrame:
     """Own mean ``mu_p_*``, population sd ``sd_p_*`` and number of days ``n_p``."""
@@ -32,24 +35,42 @@ def _past_moments(
 ) -> DataFrame:
     """Per (keys, day) the trailing mean, sd and row count of all rows of the keys.
 
-    Rows become one row of sums per (keys, day) before the window, which then
-    holds a group's days only. ``centre`` is taken off before squaring; set it
-    near the mean when scores are large, so that no digits are lost.
+    Rows become one count, mean and sum of squared deviations per (keys, day)
+    before the window, which then holds a group's days only. The days of a window
+    are combined around their common mean, so large scores lose no digits. A day's
+    deviations come from its sums, which no order of rows changes much, unless
+    next to nothing is left of them; then from Spark's merged variance.
+    ``centre`` is taken off first; it changes no result.
     """
     shifted = {c: F.col(c) - F.lit(centre) for c in columns}
-    sums = [F.count(F.lit(1)).alias("_n")]
+    of_day = [F.count(F.lit(1)).alias("_n")]
     for c in columns:
-        sums += [F.sum(shifted[c]).alias(f"_s_{c}"), F.sum(shifted[c] * shifted[c]).alias(f"_q_{c}")]
-    daily = ud.groupBy(*keys, "day").agg(*sums)
+        n, total_of, squares = F.count(c), F.sum(shifted[c]), F.sum(shifted[c] * shifted[c])
+        left = squares - F.try_divide(total_of * total_of, n)
+        deviations = F.when(left > squares * KEPT_DIGITS, left).otherwise(F.var_pop(shifted[c]) * n)
+        of_day.append(
+            F.struct(n.cast("double").alias("n"), F.avg(shifted[c]).alias("m"), deviations.alias("q")).alias(f"_d_{c}")
+        )
+    daily = ud.groupBy(*keys, "day").agg(*of_day)
     w = trailing(keys, days)
-    n = F.sum("_n").over(w)
-    out = {f"n_{tier}": F.coalesce(n, F.lit(0))}
-    for c in columns:
-        mean = F.sum(f"_s_{c}").over(w) / n
-        var = F.greatest(F.sum(f"_q_{c}").over(w) / n - mean * mean, F.lit(0.0))
-        out[f"mu_{tier}_{c}"] = mean + F.lit(centre)
-        out[f"sd_{tier}_{c}"] = F.sqrt(var)
-    return daily.withColumns(out).select(*keys, "day", *out)
+    known = {f"_w_{c}": F.filter(F.collect_list(f"_d_{c}").over(w), lambda d: d["n"] > 0) for c in columns}
+    daily = daily.withColumns({f"n_{tier}": F.coalesce(F.sum("_n").over(w), F.lit(0)), **known})
+
+    def total(c: str, term) -> Column:
+        return F.aggregate(f"_w_{c}", F.lit(0.0), lambda a, d: a + term(d))
+
+    number = {f"_n_{c}": total(c, lambda d: d["n"]) for c in columns}
+    mean = {f"_m_{c}": F.try_divide(total(c, lambda d: d["n"] * d["m"]), F.col(f"_n_{c}")) for c in columns}
+
+    def spread(c: str) -> Column:
+        off = F.col(f"_m_{c}")
+        return total(c, lambda d: d["q"] + d["n"] * (d["m"] - off) * (d["m"] - off))
+
+    out = {f"mu_{tier}_{c}": F.col(f"_m_{c}") + F.lit(centre) for c in columns}
+    # no earlier day: no mean, and a spread of 0
+    sd = {c: F.sqrt(F.try_divide(spread(c), F.col(f"_n_{c}"))) for c in columns}
+    out |= {f"sd_{tier}_{c}": F.coalesce(sd[c], F.lit(0.0)) for c in columns}
+    return daily.withColumns(number).withColumns(mean).withColumns(out).select(*keys, "day", f"n_{tier}", *out)
 
 
 def group(

@@ -31,8 +31,8 @@ def offhour_features(spark, sf):
 
 _HOST = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)"
 _WEB = f"""{q.EV}, {q.SP}, web AS (
-  SELECT user_id, day, split, nullif({_HOST}, '') AS host
-  FROM ev JOIN sp USING (day) JOIN pages ON CAST(object AS BIGINT) = page_id WHERE log = 'http'),
+  SELECT user_id, day, split, lower(nullif({_HOST}, '')) AS host
+  FROM ev JOIN sp USING (day) LEFT JOIN pages ON CAST(object AS BIGINT) = page_id WHERE log = 'http'),
 lst AS (SELECT host, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM web
         WHERE split = 'train' AND host IS NOT NULL GROUP BY host
         HAVING count(DISTINCT user_id) >= 2 ORDER BY n_events DESC, host LIMIT 10)"""
@@ -42,10 +42,10 @@ def _web(spark, sf):
     """Web events with the host of the page their object number names, and their part by time."""
     pages = st.table(spark, sf, "pages").select(
         F.col("page_id").cast("string").alias("object"),
-        F.try_parse_url("url", F.lit("HOST")).alias("host"),
+        F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host"),
     )
     every = split_at(st.one_log(spark, sf, "http"), *st.cuts(spark, sf))
-    return lookup_join(every.select("user_id", "day", "split", "event_id", "object"), pages, ["object"], "inner")
+    return lookup_join(every.select("user_id", "day", "split", "event_id", "object"), pages, ["object"])
 
 
 @query(
@@ -59,12 +59,12 @@ def domain_list_features(spark, sf):
 
 
 # The listed words of the test.
-KEYWORDS = ["password", "secret", "license", "email", "confidential", "token", "key", "the"]
+KEYWORDS = ["password", "secret", "license", "email", "confidential", "token", "key", "the", "für", "éeau", "ción"]
 
 
 @query(
     "keyword_features",
-    f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')) AS word
+    f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: x <> '')) AS word
                    FROM documents),
         c AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (word IN ({', '.join(map(repr, KEYWORDS))})) AS n_hits,
               count(DISTINCT word) FILTER (word IN ({', '.join(map(repr, KEYWORDS))})) AS n_keywords FROM w GROUP BY doc_id)
@@ -143,7 +143,7 @@ def sequence_tokens(spark, sf):
 
 
 
-@query("token_arrays", f"WITH {_TOK} SELECT user_id, day, CAST(0 AS BIGINT) AS chunk, string_agg(token, ' ' ORDER BY pos) AS tokens FROM tok GROUP BY user_id, day")
+@query("token_arrays", f"WITH {_TOK} SELECT user_id, day, CAST(0 AS BIGINT) AS chunk, CAST(1 AS BIGINT) AS n_chunks, string_agg(token, ' ' ORDER BY pos) AS tokens FROM tok GROUP BY user_id, day")
 def token_arrays(spark, sf):
     return sequences.token_arrays(sequences.tokens(st.flagged(spark, sf))).withColumn(
         "tokens", F.array_join("tokens", " ")
@@ -235,8 +235,9 @@ def cloze_sql(mask: str) -> str:
 
 @query(
     "seq_score_masked",
-    f"""WITH {cloze_sql(q.u('user_id', 'day', 'pos') + f' < {MASK_RATIO}')}
-        SELECT user_id, day, count(*) AS n_masked, round(avg(nll), 6) AS s_s FROM cl GROUP BY user_id, day""",
+    f"""WITH {cloze_sql('TRUE')}, m AS (SELECT *, {q.u('user_id', 'day', 'pos')} < {MASK_RATIO} AS masked FROM cl)
+        SELECT user_id, day, count(*) FILTER (masked) AS n_masked,
+               round(coalesce(avg(nll) FILTER (masked), avg(nll)), 6) AS s_s FROM m GROUP BY user_id, day""",
 )
 def seq_score_masked(spark, sf):
     near = sequences.neighbours(st.seq(spark, sf), back=1, ahead=1)
@@ -245,10 +246,7 @@ def seq_score_masked(spark, sf):
     )
     counted = stored(both)
     model = sequences.fit_cloze(counted.filter("split = 'train'"))
-    scored = sequences.nll(counted.filter("n_masked > 0"), model)
-    return scored.groupBy("user_id", "day").agg(
-        (F.sum(F.col("nll") * F.col("n_masked")) / F.sum("n_masked")).alias("s_s"), F.sum("n_masked").alias("n_masked")
-    ).withColumn("s_s", F.round("s_s", 6))
+    return rounded(sequences.masked_score(sequences.nll(counted, model)), ["s_s"])
 
 
 @query(

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_interim(events: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -86,4 +87,7 @@ def write_run(metrics: DataFrame, params: dict[str, str], run_id: str, path: str
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("string"))
+    """All stored runs. Run ids are read as text, so that ``0001`` stays ``0001``."""
+    found = spark.read.parquet(path).schema
+    text = [T.StructField(f.name, T.StringType()) if f.name == "run_id" else f for f in found]
+    return spark.read.schema(T.StructType(text)).parquet(path)
