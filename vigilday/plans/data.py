@@ -13,25 +13,51 @@ from vigilday.sources import cert, tables
 
 # ---- raw logs, directory, answers -------------------------------------------------
 
-_SCANS = {"logon": "scan_logon", "device": "scan_device", "file": "scan_file", "email": "scan_email", "http": "scan_http"}
-
+# Per log its query, and the columns of the file that hold the object and the rest.
+_SCANS = {
+    "logon": ("scan_logon", "pc", "activity"), "device": ("scan_device", "pc", "activity"),
+    "file": ("scan_file", "filename", "content"), "email": ("scan_email", "to", "size"),
+    "http": ("scan_http", "host", "content"),
+}
+_OBJECT = "CASE WHEN log = 'http' THEN 'h' || object ELSE object END"
+
+
+def _scan(log: str, obj: str, rest: str):
+    def scan(spark, sf):
+        """One raw log as its reader returns it."""
+        rows = cert.read_log(spark, st.raw_logs(spark, sf), log)
+        rows = cert.web_columns(rows) if log == "http" else rows
+        value = F.lower(rest) if rest == "activity" else F.col(rest).cast("double")
+        return rows.select(
+            F.col("id").cast("long").alias("event_id"), "ts", F.col("user").cast("long").alias("user_id"),
+            F.col(obj).alias("object"), value.alias("action" if rest == "activity" else "qty"),
+        )
 
-def _scan(log: str):
-    return lambda spark, sf: st.one_log(spark, sf, log).select("event_id", "ts", "user_id", "object", "qty")
+    return scan
 
 
-for _log, _name in _SCANS.items():
-    query(_name, f"WITH {q.EV} SELECT event_id, ts, user_id, object, qty FROM ev WHERE log = '{_log}'")(_scan(_log))
+for _log, (_name, _obj, _rest) in _SCANS.items():
+    _value = "action" if _rest == "activity" else "qty"
+    query(
+        _name, f"WITH {q.EV} SELECT event_id, ts, user_id, {_OBJECT} AS object, {_value} FROM ev WHERE log = '{_log}'"
+    )(_scan(_log, _obj, _rest))
 
 
-@query("scan_directory", f"WITH {q.EV}, {q.DIRECTORY} SELECT user_id, valid_from, role, department FROM directory")
+@query(
+    "scan_directory",
+    f"""WITH {q.EV} SELECT user_id, CAST(date_trunc('month', ts) AS DATE) AS valid_from,
+        arg_max(action, (qty, event_id)) AS role, arg_max(log, (qty, event_id)) AS department
+        FROM ev GROUP BY ALL""",
+)
 def scan_directory(spark, sf):
-    return st.directory(spark, sf)
+    rows = cert.read_directory(spark, st.raw_logs(spark, sf))
+    return rows.select(F.col("user_id").cast("long").alias("user_id"), "valid_from", "role", "department")
 
 
 @query("scan_answers", f'WITH {q.ANSWERS} SELECT user_id, scenario, t0 AS "start", t1 AS "end" FROM answers')
 def scan_answers(spark, sf):
-    return st.answers(spark, sf)
+    found = cert.read_answers(spark, st.raw_logs(spark, sf))
+    return found.withColumn("user_id", F.col("user_id").cast("long"))
 
 
 @query(
@@ -160,9 +186,22 @@ def report_tables(spark, sf):
 # ---- normalise, label, split ---------------------------------------------------------
 
 
-@query("normalise_events", f"WITH {q.EV} SELECT event_id, ts, user_id, day, log, action, object, qty, month FROM ev")
+@query(
+    "normalise_events",
+    f"""WITH {q.EV} SELECT event_id, ts, user_id, day, log, month, {_OBJECT} AS object,
+        CASE log WHEN 'file' THEN 'copy' WHEN 'email' THEN 'send' WHEN 'http' THEN 'visit' ELSE action END AS action,
+        CASE WHEN log = 'email' THEN qty ELSE 1.0 END AS qty,
+        CASE WHEN object IS NULL THEN '' WHEN log = 'email' THEN object || ';c' || object ELSE {_OBJECT} END AS objects
+        FROM ev""",
+)
 def normalise_events(spark, sf):
-    return st.events(spark, sf)
+    """The raw logs through their readers to events; the list of objects is shown as one text."""
+    raw = st.raw_logs(spark, sf)
+    done = normalise.normalise({log: cert.read_log(spark, raw, log) for log in cert.LOG_COLUMNS})
+    return done.withColumns({
+        "event_id": F.col("event_id").cast("long"), "user_id": F.col("user_id").cast("long"),
+        "objects": F.array_join("objects", ";"),
+    })
 
 
 @query(

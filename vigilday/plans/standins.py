@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilday.functions.storage import stored
+from vigilday.functions.storage import new_table_path, stored
 from vigilday.operators import features, normalise, sequences, split
 from vigilday.operators.fusion import align, normalise_z
+from vigilday.sources import cert
 
 # Which event type stands for which log.
 LOG_OF = {"signup": "logon", "click": "device", "purchase": "file", "error": "email", "view": "http"}
@@ -47,6 +48,52 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def raw_logs(spark: SparkSession, sf: str) -> str:
+    """The stand-ins written as the raw CSV files of a dataset; the folder they are in.
+
+    The page of a web event is the host ``H<object>``; an email has a second
+    recipient in cc. The directory has one snapshot a month.
+    """
+    raw = new_table_path(spark, "raw")
+    root = f"{raw}/cert-{cert.VERSION}"
+    moment = "MM/dd/yyyy HH:mm:ss"
+    obj, amount = F.col("object"), F.col("qty").cast("string")
+    # what each column of a log is filled with; the others stay empty
+    filled = {
+        "logon": {"pc": obj, "activity": F.initcap("action")},
+        "device": {"pc": obj, "activity": F.initcap("action")},
+        "file": {"filename": obj, "content": amount},
+        "email": {"to": obj, "cc": F.concat(F.lit("c"), obj), "size": amount},
+        "http": {"url": F.concat(F.lit("http://H"), obj, F.lit("/a?b=c")), "content": amount},
+    }
+
+    def write(df: DataFrame, path: str) -> None:
+        df.write.option("header", True).option("escape", '"').csv(path)
+
+    def columns(names: list[str], known: dict) -> list:
+        return [known.get(c, F.lit(None)).cast("string").alias(c) for c in names]
+
+    every = stored(events(spark, sf))
+    for log, names in cert.LOG_COLUMNS.items():
+        known = {"id": F.col("event_id"), "date": F.date_format("ts", f"{moment}.SSSSSS"), "user": F.col("user_id")}
+        write(every.filter(F.col("log") == log).select(columns(names, known | filled[log])), f"{root}/{log}.csv")
+
+    latest = F.struct("qty", "event_id")
+    people = every.groupBy("user_id", "month").agg(
+        F.max_by("action", latest).alias("role"), F.max_by("log", latest).alias("department")
+    )
+    known = {c: F.col(c) for c in ("user_id", "role", "department")}
+    (
+        people.select("month", *columns(cert.DIRECTORY_COLUMNS, known))
+        .write.partitionBy("month").option("header", True).csv(f"{root}/LDAP")
+    )
+
+    known = {"dataset": F.lit(cert.VERSION.removeprefix("r")), "scenario": F.col("scenario"), "user": F.col("user_id")}
+    known |= {c: F.date_format(c, moment) for c in ("start", "end")}
+    write(answers(spark, sf).select(columns(cert.ANSWER_COLUMNS, known)), f"{root}/answers/insiders.csv")
+    return raw
+
+
 def one_log(spark: SparkSession, sf: str, log: str) -> DataFrame:
     return events(spark, sf).filter(F.col("log") == log)
 

@@ -24,7 +24,9 @@ ANSWER_COLUMNS = ["dataset", "scenario", "details", "user", "start", "end"]
 VERSION = "r4.2"
 
 
-def _csv(spark: SparkSession, path: str, columns: list[str], multiline: bool = False) -> DataFrame:
+def _csv(
+    spark: SparkSession, path: str, columns: list[str], multiline: bool = False, nested: bool = False
+) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return (
         spark.read.schema(schema)
@@ -32,13 +34,14 @@ def _csv(spark: SparkSession, path: str, columns: list[str], multiline: bool = F
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
+        .option("recursiveFileLookup", nested)
         .csv(path)
     )
 
 
 def parse_time(text):
-    """``MM/dd/yyyy HH:mm:ss`` to a zone-free timestamp; anything else gives NULL."""
-    pattern = r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}:\d{2}:\d{2})$"
+    """``MM/dd/yyyy HH:mm:ss`` (or with a fraction) to a zone-free timestamp; anything else gives NULL."""
+    pattern = r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)$"
     iso = F.regexp_replace(text, pattern, "$3-$1-$2 $4")
     return F.when(text.rlike(pattern), iso.try_cast("timestamp_ntz"))
 
@@ -60,7 +63,7 @@ def read_log(
 def email_columns(email: DataFrame) -> DataFrame:
     """The email log with its recipients as a list, their number, and sizes as numbers."""
     every = F.concat_ws(";", "to", "cc", "bcc")
-    recipients = F.filter(F.transform(F.split(every, ";"), F.trim), lambda r: r != "")
+    recipients = F.filter(F.transform(F.split(every, ";"), lambda r: F.trim(r)), lambda r: r != "")
     return email.withColumns(
         {
             "recipients": recipients,
@@ -72,14 +75,14 @@ def email_columns(email: DataFrame) -> DataFrame:
 
 
 def web_columns(http: DataFrame) -> DataFrame:
-    """The web log with the host of each address; an unreadable address has none."""
-    return http.withColumn("host", F.try_parse_url("url", F.lit("HOST")))
+    """The web log with the host of each address in lower case; an unreadable address has none."""
+    return http.withColumn("host", F.lower(F.try_parse_url("url", F.lit("HOST"))))
 
 
 def read_directory(spark: SparkSession, raw: str, version: str = VERSION) -> DataFrame:
-    """All directory snapshots. The file name ``YYYY-MM.csv`` is the month a row is valid from."""
-    month = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2})", 1)
-    rows = _csv(spark, f"{raw}/cert-{version}/LDAP", DIRECTORY_COLUMNS)
+    """All directory snapshots. The file, or folder of files, ``YYYY-MM.csv`` is the month a row is valid from."""
+    month = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2})(?:\.csv)?(?:/[^/]*)?$", 1)
+    rows = _csv(spark, f"{raw}/cert-{version}/LDAP", DIRECTORY_COLUMNS, nested=True)
     return rows.select("*", month.alias("snapshot_month")).withColumn(
         "valid_from", F.to_date(F.concat("snapshot_month", F.lit("-01")))
     )
