@@ -287,6 +287,29 @@ def test_near_duplicate_vectors_equal_brute_force(spark):
     assert (got.loc[900:903].n_links == 0).all() and got.loc[900:903].kept.all()
 
 
+def linked_by_brute_force(x, labels):
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    close = (unit @ unit.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels))
+    np.fill_diagonal(close, False)
+    least = np.arange(len(x))
+    for _ in x:
+        least = np.minimum(least, np.where(close, least[None, :], len(x)).min(1))
+    return close.sum(1).tolist(), least.tolist()
+
+
+def test_links_between_saturated_groups(spark):
+    # two tight groups of 14 at a cosine of 0.95, and a third, far one; no list of ten holds a pair across
+    rng = np.random.default_rng(3)
+    centers = np.zeros((3, 16))
+    centers[0, 0], centers[1, :2], centers[2, 5] = 1, (0.95, np.sqrt(1 - 0.95**2)), 1
+    x = np.float32(np.concatenate([c + 0.004 * rng.standard_normal((14, 16)) for c in centers]))
+    got = neardup.near_duplicates(vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)], True)).toPandas().sort_values("vec_id")
+    n_links, component = linked_by_brute_force(x, [1] * len(x))
+    assert n_links[0] == 27 and n_links[-1] == 13
+    assert got.n_links.tolist() == n_links and got.component_id.tolist() == component
+    assert got.kept.sum() == 2
+
+
 def test_licenses_on_held_out_wording(spark):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op8_license_scan"](spark, sf).toPandas()

@@ -3,9 +3,9 @@
 Equal vectors of a label are one node. Every node keeps a list of its nearest nodes. The lists start from
 small cells of random hyperplanes and are refined round by round: the nodes that name a node, or that it names,
 are compared with each other, and better neighbours enter their lists. Entries that are new take
-part in the next round, until few lists change. A full list whose last entry is still a link is saturated: it is
-enlarged to all that can be reached through neighbours of neighbours, which is compared in blocks and
-kept as counts. Links found are measured against brute force for some nodes, and more cells and rounds follow if too
+part in the next round, until few lists change. A full list whose last entry is still a link is saturated: its
+component is compared in blocks, within itself and with the other such components of the label that the angles between
+block centers leave in reach, and kept as counts. Links found are measured against brute force for some nodes, and more cells and rounds follow if too
 many are missing. Every link counted or joined has been checked in double precision.
 """
 
@@ -180,59 +180,141 @@ def descend(nodes: DataFrame, first: DataFrame, count: int, size: int, rounds: i
     return lists
 
 
+def _bridges(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> set[tuple[int, int]]:
+    """Few pairs of the groups ``left`` (of the rows) and ``right`` (of the columns) that connect all that the links connect."""
+    rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+    if not len(rows):
+        return set()
+    left, right = left[rows], right[cols]
+    if (left == left[0]).all() and (right == left[0]).all():
+        return set()
+    part = linked[np.ix_(rows, cols)]
+    far = np.iinfo(np.int64).max
+    low = left.copy()
+    while True:  # the smallest group spreads along the links
+        high = np.minimum(right, np.where(part, low[:, None], far).min(0))
+        after = np.minimum(low, np.where(part, high, far).min(1))
+        if (after == low).all():
+            break
+        low = after
+    return {(g, t) for g, t in zip(np.r_[left, right].tolist(), np.r_[low, high].tolist()) if g != t}
+
+
 def _counts(batches: Iterator[pa.RecordBatch], dim: int, dtype: str, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Vectors linked with each node of one block in another: (node, links)."""
+    """Vectors linked with each node of one block in another (node, links, null), and groups they connect (group, 0, group)."""
     for batch in batches:
         for row in range(batch.num_rows):
             same_block = batch.column("same")[row].as_py()
             left, right = ([p for p in batch.column(c)[row].as_py()] for c in ("left", "right"))
             a, x = vec.unpack(left, dim, dtype)
             b, y = vec.unpack(right, dim, dtype)
-            weights = [np.frombuffer(b"".join(p["copies"] for p in side), "<i8") for side in (left, right)]
+            weights, groups = ([np.frombuffer(b"".join(p[c] for p in side), "<i8") for side in (left, right)] for c in ("copies", "grps"))
             linked = _units(x) @ _units(y).T >= threshold
             linked &= a[:, None] != b
             out = [(a, linked @ weights[1])]
             if not same_block:
                 out.append((b, linked.T @ weights[0]))
-            for ids, n in out:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["node", "links"])
+            bridges = sorted(_bridges(linked, *groups))
+            ids = np.concatenate([i for i, _ in out] + [np.array([g for g, _ in bridges], np.int64)])
+            n = np.concatenate([n for _, n in out] + [np.zeros(len(bridges), np.int64)]).astype(np.int64)
+            other = [None] * (len(ids) - len(bridges)) + [t for _, t in bridges]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(other, pa.int64())], names=["node", "links", "other"])
+
+
+def _centers(batches: Iterator[pa.RecordBatch], dim: int, dtype: str) -> Iterator[pa.RecordBatch]:
+    """Add the mean direction of each block, and the largest angle of a vector of the block with it."""
+    for batch in batches:
+        centers, angles = [], []
+        for parts in batch.column("parts"):
+            x = _units(vec.unpack(parts.as_py(), dim, dtype)[1])
+            mean = x.sum(0)
+            length = np.sqrt((mean * mean).sum())
+            center = mean / length if length > 1e-6 else x[0]
+            centers.append(center)
+            angles.append(float(np.arccos(np.clip((x @ center).min(), -1, 1))))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(centers, pa.list_(pa.float64())), pa.array(angles, pa.float64())],
+            names=[*batch.schema.names, "center", "angle"],
+        )
+
 
+def _reaching(batches: Iterator[pa.RecordBatch], reach: float) -> Iterator[pa.RecordBatch]:
+    """Parts that blocks connect whose vectors may be within ``reach`` of each other."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            sides = [batch.column(c)[row].as_py() for c in ("left", "right")]
+            x, y = (np.array([m["center"] for m in side]) for side in sides)
+            r, t = (np.array([m["angle"] for m in side]) for side in sides)
+            near = np.arccos(np.clip(x @ y.T, -1, 1)) <= reach + r[:, None] + t + 1e-6
+            found = sorted(_bridges(near, *(np.array([m["part"] for m in side], np.int64) for side in sides)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g for g, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())], names=["a", "b"]
+            )
 
-def dense_counts(nodes: DataFrame, groups: DataFrame, dim: int, dtype: str, threshold: float, block: int = 1024) -> DataFrame:
-    """(node, links): the vectors linked with each node of the groups (node, component), counted block by block.
 
-    Within a group every block meets every block once; no pair leaves a task, only a count per node and block.
+def clusters(blocks: DataFrame, reach: float, size: int = 1024) -> DataFrame:
+    """(part, cluster): parts of a label between which there may be links, by the angles of their blocks' centers."""
+    sizes = blocks.groupBy("label").agg(F.ceil(F.count("*") / size).alias("chunks"))
+    chunks = stored(
+        blocks.join(sizes, "label")
+        .groupBy("label", "chunks", F.pmod(F.xxhash64("part", "block"), "chunks").alias("chunk"))
+        .agg(F.collect_list(F.struct("part", "center", "angle")).alias("members"))
+    )
+    # every pair of chunks is a key of its own
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    sides = [
+        chunks.withColumn("with", met).filter(keep).select("label", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), F.col("members").alias(name))
+        for name, keep in (("left", F.col("chunk") <= F.col("with")), ("right", F.col("chunk") >= F.col("with")))
+    ]
+    pairs = sides[0].join(sides[1], ["label", "low", "high"]).select("left", "right")
+    near = stored(pairs.mapInArrow(lambda b: _reaching(b, reach), "a long, b long").distinct())
+    parts = blocks.select("part").distinct()
+    return parts.join(components(near), F.col("part") == F.col("id"), "left").select("part", F.coalesce("component", "part").alias("cluster"))
+
+
+def dense_counts(
+    nodes: DataFrame, groups: DataFrame, dim: int, dtype: str, threshold: float, block: int = 1024
+) -> tuple[DataFrame, DataFrame]:
+    """(node, links), the vectors of its label linked with each node, and (a, b), groups that links connect.
+
+    ``groups`` has the rows (node, part, grp) of the nodes compared. The nodes of a part are cut into blocks. Two blocks of a label meet
+    once, within a part and across parts, unless the angle between their centers and the angles within them rule out any link;
+    no pair leaves a task, only a count per node and block.
     """
-    rows = nodes.join(groups, "node").select("component", "node", "copies", "vector")
+    rows = nodes.join(groups, "node").select("label", "part", "grp", "node", "copies", "vector")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = vec.matrix(batch.column("vector"), dim, dtype)
+            number = lambda c: pa.array([int(i).to_bytes(8, "little", signed=True) for i in batch.column(c).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("component"),
-                    pa.array(np.ones(len(x), np.int64)),
-                    pa.array([int(i).to_bytes(8, "little", signed=True) for i in batch.column("node").to_pylist()], pa.binary()),
-                    pa.array([int(i).to_bytes(8, "little", signed=True) for i in batch.column("copies").to_pylist()], pa.binary()),
-                    pa.array([v.tobytes() for v in x], pa.binary()),
-                ],
-                names=["component", "n", "ids", "copies", "vecs"],
+                [batch.column("label"), batch.column("part"), number("node"), number("copies"), number("grp"), pa.array([v.tobytes() for v in x], pa.binary())],
+                names=["label", "part", "ids", "copies", "grps", "vecs"],
             )
 
-    packed = stored(rows.mapInArrow(pack, "component long, n long, ids binary, copies binary, vecs binary"))
-    sizes = packed.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = stored(
-        packed.join(sizes, "component")
-        .groupBy("component", F.pmod(F.xxhash64("ids"), "blocks").alias("block"))
-        .agg(F.collect_list(F.struct("ids", "copies", "vecs")).alias("parts"))
-    )
-    pairs = dealt.alias("l").join(
-        dealt.alias("r"), (F.col("l.component") == F.col("r.component")) & (F.col("l.block") <= F.col("r.block"))
-    )
-    pairs = pairs.select((F.col("l.block") == F.col("r.block")).alias("same"), F.col("l.parts").alias("left"), F.col("r.parts").alias("right"))
-    return pairs.mapInArrow(lambda b: _counts(b, dim, dtype, threshold), "node long, links long").groupBy("node").agg(
-        F.sum("links").alias("links")
+    kind = nodes.schema["label"].dataType.simpleString()
+    packed = stored(rows.mapInArrow(pack, f"label {kind}, part long, ids binary, copies binary, grps binary, vecs binary"))
+    sizes = packed.groupBy("label", "part").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = (
+        packed.join(sizes, ["label", "part"])
+        .groupBy("label", "part", F.pmod(F.xxhash64("ids"), "blocks").alias("block"))
+        .agg(F.collect_list(F.struct("ids", "copies", "grps", "vecs")).alias("parts"))
     )
+    dealt = stored(dealt.mapInArrow(
+        lambda b: _centers(b, dim, dtype), f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in dealt.schema)}, center array<double>, angle double"
+    ))
+    reach = float(np.arccos(threshold))
+    held = dealt.join(clusters(dealt.select("label", "part", "block", "center", "angle"), reach), "part")
+    l, r = held.alias("l"), held.alias("r")
+    together = (F.col("l.label") == F.col("r.label")) & (F.col("l.cluster") == F.col("r.cluster"))
+    once = F.struct("l.part", "l.block") <= F.struct("r.part", "r.block")
+    same = (F.col("l.part") == F.col("r.part")) & (F.col("l.block") == F.col("r.block"))
+    between = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vec.product(F.col("l.center"), F.col("r.center")))))
+    near = between <= F.col("l.angle") + F.col("r.angle") + F.lit(reach + 1e-6)
+    pairs = l.join(r, together & once & (same | near)).select(same.alias("same"), F.col("l.parts").alias("left"), F.col("r.parts").alias("right"))
+    found = stored(pairs.mapInArrow(lambda b: _counts(b, dim, dtype, threshold), "node long, links long, other long"))
+    counts = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
+    return counts, found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def verified(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
@@ -246,19 +328,31 @@ def verified(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
 
 
 def linked(nodes: DataFrame, lists: DataFrame, dim: int, dtype: str, threshold: float, size: int) -> tuple[DataFrame, DataFrame]:
-    """(node, links) and (id, component) for the nodes that have links."""
+    """(node, links) and (id, component) for the nodes that have links.
+
+    Links of the components with a saturated list are counted exactly, also those between such components, which no list may hold.
+    """
     edges = stored(verified(nodes, lists, threshold))
     groups = stored(components(edges))
     full = lists.filter((F.size("sims") >= size) & (F.array_min("sims") >= threshold - SLACK)).select(F.col("a").alias("id"))
+    # a full node without a verified link (its list lies within SLACK) is a component of its own
+    alone = full.join(groups, "id", "left_anti").select("id", F.col("id").alias("component"))
+    placed = groups.unionByName(alone)
     dense = stored(
-        groups.join(full, "id").select("component").distinct().join(groups, "component").select(F.col("id").alias("node"), "component")
+        placed.join(full, "id").select("component").distinct().join(placed, "component").select(F.col("id").alias("node"), "component")
     )
-    exact = dense_counts(nodes, dense, dim, dtype, threshold)
+    exact, bridges = dense_counts(nodes, dense.select("node", F.col("component").alias("part"), F.col("component").alias("grp")), dim, dtype, threshold)
+    bridges = stored(bridges)
+    if not bridges.isEmpty():
+        joined = components(bridges).toDF("old", "new")
+        groups = stored(
+            placed.join(joined, placed.component == joined.old, "left").select("id", F.coalesce("new", "component").alias("component"))
+        )
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
     sparse = both.join(dense, "node", "left_anti")
     weights = nodes.select(F.col("node").alias("other"), "copies")
     found = sparse.join(weights, "other").groupBy("node").agg(F.sum("copies").alias("links"))
-    return stored(found.unionByName(exact)), groups
+    return stored(found.unionByName(exact.filter("links > 0"))), groups
 
 
 def audit(nodes: DataFrame, counts: DataFrame, count: int, dim: int, dtype: str, threshold: float, size: int = AUDIT) -> float:
