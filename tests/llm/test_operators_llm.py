@@ -310,6 +310,21 @@ def test_links_between_saturated_groups(spark):
     assert got.kept.sum() == 2
 
 
+def test_missed_links_of_sparse_nodes_end_in_all_pairs(spark, monkeypatch):
+    # a group of 400, counted exactly, and 40 pairs; a search that finds no pair must not pass for its many links
+    rng = np.random.default_rng(5)
+    center, pairs = rng.standard_normal(16), np.repeat(rng.standard_normal((40, 16)), 2, axis=0)
+    x = np.float32(np.concatenate([center + 0.01 * rng.standard_normal((400, 16)), pairs + 0.01 * rng.standard_normal((80, 16))]))
+    search = neardup.descend
+    monkeypatch.setattr(neardup, "descend", lambda *a: search(*a).filter("a < 400"))
+    monkeypatch.setattr(neardup, "ATTEMPTS", 1, raising=False)
+    rows = [(i, v.tolist(), i % 2 if i < 400 else i // 2 % 2) for i, v in enumerate(x)]
+    got = neardup.near_duplicates(vectors(spark, rows, True)).toPandas().sort_values("vec_id")
+    n_links, component = linked_by_brute_force(x, [r[2] for r in rows])
+    assert min(n_links) >= 1
+    assert got.n_links.tolist() == n_links and got.component_id.tolist() == component
+
+
 def test_licenses_on_held_out_wording(spark):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op8_license_scan"](spark, sf).toPandas()

@@ -5,8 +5,8 @@ small cells of random hyperplanes and are refined round by round: the nodes that
 are compared with each other, and better neighbours enter their lists. Entries that are new take
 part in the next round, until few lists change. A full list whose last entry is still a link is saturated: its
 component is compared in blocks, within itself and with the other such components of the label that the angles between
-block centers leave in reach, and kept as counts. Links found are measured against brute force for some nodes, and more cells and rounds follow if too
-many are missing. Every link counted or joined has been checked in double precision.
+block centers leave in reach, and kept as counts. Links found are measured against brute force for some nodes of each kind, and longer lists, more cells and rounds
+follow if a node misses too many on average; if that doesn't help, all pairs of a label are compared. Every link counted or joined has been checked in double precision.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ SETTLED = 0.002
 SEED = 1
 AUDIT = 256
 RECALL = 0.99
+# searches, each with lists twice as long, before all pairs of a label are compared
+ATTEMPTS = 3
 # unit vectors travel in half precision; an entry this far below the threshold may be a link
 SLACK = 0.004
 
@@ -327,8 +329,10 @@ def verified(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
     return both.filter(vec.product(F.col("va"), F.col("vb")) / (norm("va") * norm("vb")) >= threshold).select("a", "b")
 
 
-def linked(nodes: DataFrame, lists: DataFrame, dim: int, dtype: str, threshold: float, size: int) -> tuple[DataFrame, DataFrame]:
-    """(node, links) and (id, component) for the nodes that have links.
+def linked(
+    nodes: DataFrame, lists: DataFrame, dim: int, dtype: str, threshold: float, size: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, links) and (id, component) for the nodes that have links, and the nodes that were counted in blocks.
 
     Links of the components with a saturated list are counted exactly, also those between such components, which no list may hold.
     """
@@ -352,36 +356,57 @@ def linked(nodes: DataFrame, lists: DataFrame, dim: int, dtype: str, threshold:
     sparse = both.join(dense, "node", "left_anti")
     weights = nodes.select(F.col("node").alias("other"), "copies")
     found = sparse.join(weights, "other").groupBy("node").agg(F.sum("copies").alias("links"))
-    return stored(found.unionByName(exact.filter("links > 0"))), groups
+    return stored(found.unionByName(exact.filter("links > 0"))), groups, dense
 
 
-def audit(nodes: DataFrame, counts: DataFrame, count: int, dim: int, dtype: str, threshold: float, size: int = AUDIT) -> float:
-    """Share of links found among those that brute force finds for at most ``size`` nodes, half of them with links."""
+def audit(nodes: DataFrame, counts: DataFrame, dense: DataFrame, dim: int, dtype: str, threshold: float, size: int = AUDIT) -> float:
+    """Mean share of a node's links found, by brute force for some nodes; the worse of dense and other nodes.
+
+    Up to ``size`` nodes are drawn from each of three strata: the nodes of ``dense``, others with links found, and others without any. The last two
+    are weighed by their number of nodes, so that nodes all of whose links were missed count as much as there are of them.
+    """
+    strata = stored(
+        nodes.select("node", "label", "vector")
+        .join(dense.select("node", F.lit(0).alias("d")), "node", "left")
+        .join(counts.select("node", "links"), "node", "left")
+        .withColumn("stratum", F.coalesce("d", F.when(F.col("links") > 0, 1).otherwise(2)))
+        .select("node", "label", "vector", "links", "stratum")
+    )
+    weights = {r["stratum"]: r["count"] for r in strata.groupBy("stratum").count().collect()}
     by_hash = F.xxhash64(F.lit(SEED), "node")
-    some = nodes.join(counts.select("node"), "node").orderBy(by_hash).limit(size // 2).select("node").collect()
-    any_ = nodes.orderBy(by_hash).limit(size // 2).select("node").collect()
-    chosen = sorted({r["node"] for r in some + any_})
-    rows = nodes.filter(F.col("node").isin(chosen)).select("node", "label", "vector").collect()
-    ids, labels = np.array([r["node"] for r in rows]), [r["label"] for r in rows]
-    units = _units(np.array([r["vector"] for r in rows]))
+    rows = [r for i in sorted(weights) for r in strata.filter(F.col("stratum") == i).orderBy(by_hash, "node").limit(size).collect()]
+    ids, units = np.array([r["node"] for r in rows]), _units(np.array([r["vector"] for r in rows]))
+    order = {x: i for i, x in enumerate({r["label"] for r in rows})}
+    labels = np.array([order[r["label"]] for r in rows])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             close = units @ _units(vec.matrix(batch.column("vector"), dim, dtype)).T >= threshold
-            close &= np.array([[x == y for y in batch.column("label").to_pylist()] for x in set(labels)])[
-                [list(set(labels)).index(x) for x in labels]
-            ]
+            close &= labels[:, None] == np.array([order.get(x, -1) for x in batch.column("label").to_pylist()])
             close &= ids[:, None] != batch.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array(close @ batch.column("copies").to_numpy(), pa.int64())], names=["node", "true"]
             )
 
     truth = nodes.select("node", "label", "copies", "vector").mapInArrow(scan, "node long, true long")
-    truth = truth.groupBy("node").agg(F.sum("true").alias("true"))
-    got = truth.join(counts, "node", "left").agg(
-        F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("found")
-    ).first()
-    return got["found"] / got["true"] if got["true"] else 1.0
+    true = {r["node"]: r["true"] for r in truth.groupBy("node").agg(F.sum("true").alias("true")).collect()}  # the sample
+
+    def recall(chosen: tuple[int, ...]) -> float:
+        found = asked = 0.0
+        for i in chosen:
+            of = [r for r in rows if r["stratum"] == i and true[r["node"]]]
+            each = weights.get(i, 0) / max(1, sum(r["stratum"] == i for r in rows))
+            asked += each * len(of)
+            found += each * sum(min(1.0, (r["links"] or 0) / true[r["node"]]) for r in of)
+        return found / asked if asked else 1.0
+
+    return min(recall((0,)), recall((1, 2)))
+
+
+def every_pair(nodes: DataFrame, dim: int, dtype: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, links) and (id, component) for the nodes that have links, from all blocks of a label: exact, and quadratic in a label's nodes."""
+    counts, edges = dense_counts(nodes, nodes.select("node", F.xxhash64("label").alias("part"), F.col("node").alias("grp")), dim, dtype, threshold)
+    return stored(counts.filter("links > 0")), stored(components(edges))
 
 
 def near_duplicates(
@@ -414,10 +439,14 @@ def near_duplicates(
     if not count:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     lists = descend(nodes, start(nodes, dim, labels, count, SEED, size), count, size, ROUNDS)
-    for attempt in range(1, 4):
-        counts, groups = linked(nodes, lists, dim, dtype, threshold, size)
-        if audit(nodes, counts, count, dim, dtype, threshold) >= RECALL:
+    for attempt in range(1, ATTEMPTS + 1):
+        counts, groups, dense = linked(nodes, lists, dim, dtype, threshold, size)
+        if audit(nodes, counts, dense, dim, dtype, threshold) >= RECALL:
+            break
+        if attempt == ATTEMPTS:
+            counts, groups = every_pair(nodes, dim, dtype, threshold)
             break
+        size *= 2
         more = start(nodes, dim, labels, count, SEED + attempt, size)
         lists = descend(nodes, lists.select("a", "bs", "sims", F.lit(True).alias("old")).unionByName(more), count, size, ROUNDS)
     placed = nodes.join(counts, "node", "left").join(groups, nodes.node == groups.id, "left").select(
