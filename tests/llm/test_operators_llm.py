@@ -267,6 +267,20 @@ def test_nearest_equals_brute_force(spark):
     assert ann.nearest(vectors(spark, bad), lambda i: i % 20 == 0).count() == 0
 
 
+def test_nearest_beyond_the_probes(spark, monkeypatch):
+    # most queries lie in groups of near copies, the others among scattered vectors; few buckets may be visited
+    rng = np.random.default_rng(8)
+    groups = np.repeat(rng.standard_normal((4, 24)), 60, axis=0) + 0.01 * rng.standard_normal((240, 24))
+    x = np.float32(np.concatenate([groups, rng.standard_normal((800, 24))]))
+    monkeypatch.setattr(ann, "PROBES", 2)
+    monkeypatch.setattr(ann, "RECALL", 1.0)
+    got = ann.nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), lambda i: i % 8 == 0, k=5).toPandas()
+    scores = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(scores, -np.inf)
+    for q in range(0, len(x), 8):
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == np.argsort(-scores[q])[:5].tolist()
+
+
 def test_near_duplicate_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     centers = rng.standard_normal((30, 16))

@@ -27,8 +27,10 @@ WIDTH = 4.0
 SEED = 6
 # buckets a query visits in a table at most, if their chances don't add up to the target before
 PROBES = 4096
-# chances of the buckets visited in each table; the next one is tried where recall falls short
-TARGETS = (0.82, 0.93, 1.0)
+# chances of the buckets visited in each table; the next one is tried where recall falls short, and after the last all vectors are compared
+TARGETS = (0.82, 0.93)
+# keys over which the vectors are dealt for that; each gets a copy of the queries
+SHARES = 16
 RECALL = 0.93
 AUDIT = 64
 FLUSH = 50_000
@@ -56,17 +58,17 @@ class Tables:
     def buckets(self, t: int, x: np.ndarray) -> np.ndarray:
         return self.key(t, np.floor(self.lifted(x) @ self.lines[t] / WIDTH))
 
-    def probes(self, t: int, q: np.ndarray, near: float, target: float) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, t: int, q: np.ndarray, near: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray]:
         """(row of the query, bucket) of the likeliest buckets of each query.
 
-        A vector at cosine ``near`` of the query is projected to a normal variable around ``near`` times the query's
+        A vector at cosine ``near`` (one for each query) of the query is projected to a normal variable around ``near`` times the query's
         projection; a bucket's chance is the product over its cells. The best products are extended projection by
         projection; keeping the ``PROBES`` best is exact, as a good bucket has good beginnings.
         """
         unit = q / np.sqrt((q * q).sum(1, keepdims=True))
-        center = near * (np.hstack([unit, np.zeros((len(q), 1))]) @ self.lines[t])
-        spread = sqrt(max(1e-9, 1 - near * near))
-        edges = _normal((np.arange(-3, 4) * WIDTH - center[:, :, None]) / spread)
+        center = near[:, None] * (np.hstack([unit, np.zeros((len(q), 1))]) @ self.lines[t])
+        spread = np.sqrt(np.maximum(1e-9, 1 - near * near))
+        edges = _normal((np.arange(-3, 4) * WIDTH - center[:, :, None]) / spread[:, None, None])
         cell = np.diff(edges, axis=2, prepend=0.0, append=1.0)  # cells -4 .. 3
         chance, digits = np.ones((len(q), 1)), np.zeros((len(q), 1), np.int64)
         for j in range(self.hashes):
@@ -185,7 +187,7 @@ def nearest(
     whose id is null or whose vector is null, zero, of another length than most, or holds null or non-finite
     components. Equal vectors are one class, so copies of any number are compared once; rows alike in id
     and vector count once. Recall is measured on ``audit`` queries by brute force, and more buckets are visited until it reaches
-    ``RECALL`` (the last step visits all). An empty table gives an empty result; other columns are not read.
+    ``RECALL``, by what each query has found so far; the last step compares every query with every vector. An empty table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).filter(
@@ -216,6 +218,7 @@ def nearest(
     norms = dict(zip(few.tolist(), np.sqrt((q * q).sum(1)) * size["norm"]))
     worst = {a: min(s / norms[a] for (b, _), s in truth.items() if b == a) for a in few.tolist()}
     near = float(np.clip(np.quantile(list(worst.values()), 0.25), 0.0, 0.999))
+    far = float(np.clip(min(worst.values()), 0.0, 0.999))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +226,17 @@ def nearest(
             for t in range(TABLES):
                 yield _pack(tables.buckets(t, x), ids, x)
 
+    def compared(held: DataFrame, visiting: DataFrame) -> DataFrame:
+        pairs = held.select("bucket", "parts").join(visiting.select("bucket", F.col("parts").alias("queries")), "bucket")
+        return pairs.select("parts", "queries").mapInArrow(lambda b: _rank(b, dim, dtype, wide), FOUND)
+
+    def recall_of(found: DataFrame) -> float:
+        hits = found.filter(F.col("query").isin(few.tolist())).select("query", "class").collect()
+        return sum((r["query"], r["class"]) in truth for r in hits) / len(truth)
+
     held = vec.blocks(stored(classes.mapInArrow(index, PACKED)), ["bucket"])
+    nearness = asked.withColumn("near", F.lit(near))
+    lists = found = None
     for target in TARGETS:
         def probe(batches: Iterator[pa.RecordBatch], target: float = target) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -231,16 +244,32 @@ def nearest(
                     part = batch.slice(at, 256)
                     x, ids = vec.matrix(part.column("vector"), dim, dtype), part.column("class").to_numpy()
                     for t in range(TABLES):
-                        row, bucket = tables.probes(t, x.astype(np.float64), near, target)
+                        row, bucket = tables.probes(t, x.astype(np.float64), part.column("near").to_numpy(), target)
                         yield _pack(bucket, ids[row], x[row])
 
-        visiting = vec.blocks(stored(asked.mapInArrow(probe, PACKED)), ["bucket"], 1024)
-        pairs = held.select("bucket", "parts").join(visiting.select("bucket", F.col("parts").alias("queries")), "bucket")
-        found = stored(_merged(pairs.select("parts", "queries").mapInArrow(lambda b: _rank(b, dim, dtype, wide), FOUND), wide))
-        hits = found.filter(F.col("query").isin(few.tolist())).select("query", "class").collect()
-        recall = sum((r["query"], r["class"]) in truth for r in hits) / len(truth)
-        if recall >= RECALL:
+        visiting = vec.blocks(stored(nearness.mapInArrow(probe, PACKED)), ["bucket"], 1024)
+        more = compared(held, visiting)
+        found = stored(_merged(more if lists is None else lists.unionByName(more), wide))
+        if recall_of(found) >= RECALL:
             break
+        # what a query has found bounds how near its k-th neighbour is; with too few found it may be as far as any
+        lists = found.groupBy("query").agg(F.collect_list("class").alias("class"), F.collect_list("score").alias("score"))
+        length = F.sqrt(vec.product(F.col("vector"), F.col("vector"))) * F.lit(size["norm"])
+        own = F.when(F.size("score") >= min(wide, size["n"]), F.greatest(F.lit(0.0), F.least(F.lit(0.999), F.array_min("score") / length)))
+        nearness = asked.join(lists.select(F.col("query").alias("class"), "score"), "class", "left").select(
+            "class", "vector", F.coalesce(own, F.lit(far)).alias("near")
+        )
+    else:
+        def shared(batches: Iterator[pa.RecordBatch], copies: bool) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, ids = vec.matrix(batch.column("vector"), dim, dtype), batch.column("class").to_numpy()
+                for share in range(SHARES) if copies else [None]:
+                    mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % SHARES
+                    yield _pack(mixed if share is None else np.full(len(ids), share), ids, x)
+
+        everything = vec.blocks(stored(classes.mapInArrow(lambda b: shared(b, False), PACKED)), ["bucket"])
+        every_query = vec.blocks(stored(asked.mapInArrow(lambda b: shared(b, True), PACKED)), ["bucket"], 1024)
+        found = stored(_merged(compared(everything, every_query), wide))
 
     # exact scores of the classes found, and as many of their smallest ids as can be needed
     left = classes.select(F.col("class").alias("query"), F.col("vector").alias("qv"))
