@@ -348,6 +348,27 @@ def test_licenses_on_held_out_wording(spark):
     assert dict(zip(rows.doc_id, rows.families)) == want and any(want.values())
 
 
+def license_rows(spark, texts):
+    plain = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60").select(F.col("doc_id") + 1000, "text")
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(plain)).toPandas()
+    return rows.set_index("doc_id").sort_index().loc[: len(texts) - 1]
+
+
+def test_licenses_of_relatives(spark):
+    texts = [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the Apache License, Version 1.1.",
+        "This work is licensed under the GNU Library General Public License, version 3.",
+        "Licensed under the Apache License, Version 3.0.",
+        "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under the Apache License, Version 2.0.",
+    ]
+    found = license_rows(spark, texts).families.tolist()
+    assert found == ["lgpl-3.0", "agpl-3.0", "gpl-2.0", "apache-1.1", "", "", "gpl-3.0", "apache-2.0"]
+
+
 def test_licenses_of_odd_texts(spark, odd):
     rows = licenses.scan(odd).toPandas()
     assert len(rows) == len(ODD) and (rows.n_licenses == 0).all()
