@@ -369,6 +369,19 @@ def test_licenses_of_relatives(spark):
     assert found == ["lgpl-3.0", "agpl-3.0", "gpl-2.0", "apache-1.1", "", "", "gpl-3.0", "apache-2.0"]
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    known = [(f, t) for f, t in licenses.TEMPLATES if len(t) > 60]
+    texts = ["// some code\n" + "\n".join("// " + line for line in textwrap.wrap(t, 30)) + "\n\nint x;" for _, t in known]
+    texts.append("Licensed under the Apache License,\nVersion 2.0")
+    texts.append("\n".join(known[-1][1].split()))
+    texts.append("see the license of\nthe general public and version 3 of it")
+    rows = license_rows(spark, texts)
+    assert rows.families.tolist() == [f for f, _ in known] + ["apache-2.0", known[-1][0], ""]
+    assert rows.n_licenses.tolist() == [1] * (len(texts) - 1) + [0]
+
+
 def test_licenses_of_odd_texts(spark, odd):
     rows = licenses.scan(odd).toPandas()
     assert len(rows) == len(ODD) and (rows.n_licenses == 0).all()
