@@ -42,6 +42,14 @@ def test_null_scores_have_no_rank(spark):
     assert [r[3] for r in few] == [0.0, 0.0, 0.0, None]
 
 
+def test_a_null_day_is_a_day_to_ranks(spark):
+    day = dt.date(1970, 1, 1)
+    data = [(1, day, 9.0), (2, day, 8.0), (3, None, 9.0), (4, None, 7.0), (5, None, None)]
+    df = spark.createDataFrame(data, "user_id int, day date, s_f double")
+    few, many = (rows(fusion.normalise_rank(df, ["s_f"], m)) for m in (100, 1))
+    assert few == many and [r[2] for r in few] == [1.0, 0.0, 1.0, 0.0, None]
+
+
 def test_token_arrays_say_how_many_make_up_a_day(spark):
     seq = spark.range(25).select(
         F.lit(1).alias("user_id"), F.lit("d").alias("day"), (F.col("id") + 1).alias("pos"),

@@ -20,7 +20,7 @@ def align(s_f: DataFrame, s_s: DataFrame, fill: float = 0.0) -> DataFrame:
 def normalise_rank(scores: DataFrame, columns: Sequence[str], max_group: int = MAX_GROUP) -> DataFrame:
     """Replace scores by their percent rank among the scores of the day.
 
-    A NULL score stays NULL and counts in no rank; a lone score has rank 0. A day with at most ``max_group`` users is one window group. Beyond that
+    A NULL score stays NULL and counts in no rank; a lone score has rank 0; a NULL day is a day. A day with at most ``max_group`` users is one window group. Beyond that
     equal scores are counted, the counts summed in score order over slices, and
     the rank of each score is looked up.
     """
@@ -33,6 +33,7 @@ def normalise_rank(scores: DataFrame, columns: Sequence[str], max_group: int = M
             for c in columns
         })
     out = scores
+    day = F.coalesce("day", F.lit("1970-01-01").cast(scores.schema["day"].dataType))
     for c in columns:
         counts = stored(out.filter(F.col(c).isNotNull()).groupBy("day", c).agg(F.count(F.lit(1)).alias("_n")))
         upto = running_sums(counts, ["day"], [F.col(c)], {"_upto": F.col("_n")}, True, max_group)
@@ -40,7 +41,11 @@ def normalise_rank(scores: DataFrame, columns: Sequence[str], max_group: int = M
             (F.col("_upto") - F.col("_n")) / (F.col("_upto_total") - 1)
         )
         ranks = upto.select("day", c, rank.alias("_rank"))
-        out = lookup_join(out, ranks, ["day", c]).withColumn(c, F.col("_rank")).drop("_rank")
+        # a NULL day is a day of its own, as in a window
+        ranks = ranks.withColumns({"_no_day": F.col("day").isNull(), "day": day})
+        keyed = out.withColumns({"_no_day": F.col("day").isNull(), "_day": F.col("day"), "day": day})
+        out = lookup_join(keyed, ranks, ["day", "_no_day", c]).withColumns({c: F.col("_rank"), "day": F.col("_day")})
+        out = out.drop("_rank", "_no_day", "_day")
     return out.select(*scores.columns)
 
 
