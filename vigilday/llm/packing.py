@@ -10,13 +10,13 @@ planner sees no more than ``seq_len`` numbers and no task sees a whole group.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -30,81 +30,98 @@ MODEL = "word_bpe_49k.json"
 SEQ_LEN = 2048
 END = b"\0\0\0\0"
 # words whose ids a worker keeps (in two generations), and the longest that is kept
-KEPT = 300_000
+KEPT = 400_000
 KEPT_CHARS = 64
-WORDS = re.compile(r"[^ \t\n\r]+")
+# bytes of texts whose words are looked up together
+GROUP_BYTES = 1 << 20
 # The tokenizer's own split into words, and the same for lower-cased texts whose
-# characters are all plain: ASCII or accented Latin letters, neither composed nor special.
+# characters are all plain: ASCII or accented Latin letters, neither composed nor special. What is no letter is put between blanks.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
-PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+PLAIN = r"\A[\t\n\r -~À-ÖØ-öø-ÿ]*\z"
+PLAIN_APART = r"('(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t\n\ra-zß-öø-ÿ0-9]+)"
 
 
 class Words:
-    """Ids of words (little-endian unsigned 32-bit), kept since the last ``KEPT`` new ones."""
+    """Ids of words (little-endian unsigned 32-bit), kept in two generations: since the last ``KEPT`` new ones."""
 
     def __init__(self, encode):
         self.encode = encode
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def joined(self, words: list[str]) -> bytes:
-        """The ids of words in turn. Those that are new are encoded together."""
-        known = self.known
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """The ids of different words. Those that are new are encoded together."""
+        known, older = self.known, self.older
         found = list(map(known.get, words))
         if None in found:
-            spots, at = [], -1
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                spots.append(at)
-            missing = {words[i] for i in spots}
-            here = {w: self.older[w] for w in missing if w in self.older}
-            new = list(missing.difference(here))
+            spots = [i for i, ids in enumerate(found) if ids is None]
+            missing = [words[i] for i in spots]
+            here = dict(zip(missing, map(older.get, missing)))
+            new = [w for w, ids in here.items() if ids is None]
             if new:
                 here.update(zip(new, self.encode(new)))
-            for i in spots:
-                found[i] = here[words[i]]
+            for i, ids in zip(spots, here.values()):
+                found[i] = ids
             known.update((w, ids) for w, ids in here.items() if len(w) <= KEPT_CHARS)
             if len(known) > KEPT:
                 self.older, self.known = known, {}
-        return b"".join(found)
+        return found
 
 
 class Encoder:
     """Ids of texts for one byte-level tokenizer that drops white space and marks the ends of words.
 
     No token and no normalisation reaches across ASCII white space, so a text's ids are those
-    of its words in turn, and each word is encoded once while it is remembered. Plain texts without
-    special strings are split further, as the tokenizer itself does, so that there are fewer different words. The
-    new words of a text are encoded together and told apart by the tokens that end a word.
+    of its words in turn, and each word is encoded once while it is remembered. Plain texts without special strings are split
+    further, as the tokenizer itself does, so that there are fewer different words. Many texts are split, and their different words
+    found, by Arrow, and only those are looked up one by one. The new words of plain texts are encoded together, by the same
+    model without its normalisation and split, and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        config = json.loads(self.tokenizer.to_str())
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
         steps = config["pre_tokenizer"]
         patterns = [p["pattern"].get("Regex") for p in steps.get("pretokenizers", [steps]) if "pattern" in p]
         suffix = config["model"].get("end_of_word_suffix")
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+        vocabulary = config["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.words, self.parts = Words(self.each), Words(self.together)
         self.splits = bool(suffix) and SPLIT in patterns
+        if self.splits:
+            byte_level = [p for p in steps["pretokenizers"] if p["type"] == "ByteLevel"]
+            plain = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *byte_level]}
+            config |= {"normalizer": None, "pre_tokenizer": plain, "post_processor": None, "added_tokens": []}
+            self.bare = Tokenizer.from_str(json.dumps(config))
+
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, read where a text is not plain."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def check(self) -> None:
+        """Raise an error if the tokenizer is none of the kind."""
         probe = "ab'll  c1\tÉßà<|endoftext|>\n x"
         for text in (probe, probe.replace("<|", "")):
             if self.encode(text).tobytes() != self.ids(text):
-                raise ValueError(f"{path}: tokens reach across white space, or words do not end in tokens of their own")
+                raise ValueError(f"{self.path}: tokens reach across white space, or words do not end in tokens of their own")
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def each(self, words: list[str]) -> list[bytes]:
-        return [self.encode(w).tobytes() for w in words]
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(f.ids, "<u4").tobytes() for f in found]
 
     def together(self, words: list[str]) -> list[bytes]:
         """Encode plain words as one text and cut the ids behind each token that ends a word."""
-        ids = self.encode(" ".join(words))
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(ends) != len(words):
             raise ValueError("a word does not end in one token of its own")
@@ -112,9 +129,48 @@ class Encoder:
         return [whole[s:e] for s, e in zip([0, *ends], ends)]
 
     def ids(self, text: str) -> bytes:
-        if self.splits and "<|" not in text and PLAIN.fullmatch(text):
-            return self.parts.joined(PLAIN_SPLIT.findall(text.lower()))
-        return self.words.joined(WORDS.findall(text))
+        return next(self.many(pa.array([text], pa.string()))).tobytes()
+
+    def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of texts in turn; texts of about ``GROUP_BYTES`` bytes, or one text, are looked up together."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            before = int(sizes[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, before + GROUP_BYTES, "right")))
+            yield from self._group(pc.fill_null(texts.slice(at, to - at), ""))
+            at = to
+
+    def _group(self, texts: pa.Array) -> list[np.ndarray]:
+        plain = pc.match_substring_regex(texts, PLAIN)
+        plain = pc.and_not(plain, pc.match_substring(texts, "<|")) if self.splits else pc.and_(plain, False)
+        apart = pc.replace_substring_regex(pc.utf8_lower(texts.filter(plain)), PLAIN_APART, r" \1 ")
+        parts = iter(joined(pc.ascii_split_whitespace(apart), self.parts))
+        words = iter(joined(pc.split_pattern_regex(texts.filter(pc.invert(plain)), "[ \t\n\r]+"), self.words))
+        return [next(parts if p else words) for p in plain.to_pylist()]
+
+
+def joined(texts: pa.ListArray, known: Words) -> list[np.ndarray]:
+    """The ids of texts, each a list of words; every different word is looked up once.
+
+    White space at the ends of a text makes words without a character, which have no ids.
+    """
+    flat = texts.flatten().dictionary_encode()
+    different = flat.dictionary.to_pylist()
+    named = [w for w in different if w]
+    found = known.lookup(named)
+    if len(named) < len(different):
+        found.insert(different.index(""), b"")
+    tokens = np.frombuffer(b"".join(found), "<u4")
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    which = flat.indices.to_numpy()
+    counts = sizes[which]
+    ends = np.cumsum(counts)
+    # where each id of each word stands among the ids of the different words
+    first = (np.cumsum(sizes) - sizes)[which] - (ends - counts)
+    out = tokens[np.repeat(first, counts) + np.arange(ends[-1] if len(ends) else 0)]
+    edges = np.concatenate(([0], ends))[np.cumsum(pc.list_value_length(texts).to_numpy())]
+    return np.split(out, edges[:-1]) if len(texts) else []
 
 
 @lru_cache(maxsize=4)
@@ -128,16 +184,17 @@ PIECES = ArrayType(StructType([StructField(n, LongType()) for n in ("piece", "st
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN) -> DataFrame:
     """A row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``. Null texts count as empty: one piece, id 0 alone."""
+    encoder(path).check()
 
     @arrow_udf(PIECES)
     def cut(texts: pa.Array) -> pa.Array:
         own = encoder(path)
         out, offsets = [], [0]
-        for value in texts:
-            ids = own.ids(value.as_py() or "") + END
-            n = len(ids) // 4
+        for ids in own.many(texts):
+            whole = ids.tobytes() + END
+            n = len(whole) // 4
             for piece, start in enumerate(range(0, n, seq_len)):
-                part = ids[4 * start : 4 * (start + seq_len)]
+                part = whole[4 * start : 4 * (start + seq_len)]
                 out.append((piece, start, len(part) // 4, zlib.crc32(part)))
             offsets.append(len(out))
         columns = [pa.array(column, pa.int64()) for column in np.array(out, np.int64).reshape(-1, 4).T]
