@@ -1,6 +1,7 @@
 """Mixing sources to target weights, block by block.
 
-Every source's documents, in a hashed order, are one run of words cut into blocks of a fixed length.
+Every source's documents, in a hashed order, are one run of words cut into blocks of a fixed length (shorter in
+a source too small for it, so that its target is a number of blocks too).
 The mix is a row of output shards with a fixed number of slots. Each slot draws its source by
 the targets, which gives every shard multinomial source counts; what a source was drawn
 beyond its quota of blocks goes to the sources that were drawn too little, so that the mix as a whole meets the
@@ -21,6 +22,8 @@ from vigilday.llm.registry import query
 SEED = 3
 BLOCK = 64
 SLOTS = 4096
+# a target is this many blocks at least, unless a block is one word
+TARGET_BLOCKS = 32
 EPOCHS = 3
 WEIGHTS = (5, 2, 1)
 ROUNDS = 16
@@ -86,12 +89,14 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: in
         F.xxhash64(F.col(text_col).isNull(), F.col(text_col)).alias("key"),
     ))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    blocks = F.expr(f"(source_size + {block - 1}L) div {block}L")
+    unit = F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.least("source_size", "target") / TARGET_BLOCKS))).cast("long")
+    blocks = F.expr("(source_size + unit - 1) div unit")
     # a quota counts blocks of the source's mean length, so that a stopped source takes all of its blocks
     quota = F.least(F.col("blocks") * EPOCHS, F.round(F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))).cast("long"))
     line = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     sources = stored(
         targets(sizes)
+        .withColumn("unit", unit)
         .withColumn("blocks", blocks)
         .withColumn("quota", quota)
         .withColumn("below", F.coalesce(F.sum("quota").over(line), F.lit(0)))
@@ -99,7 +104,7 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: in
     found = sources.agg(F.sum("quota"), F.sum("n_docs")).first()
     total, rows = found[0] or 0, found[1] or 0
     known = base.alias("d").join(sources.alias("s"), same("d", "s", ["source"])).select(
-        "d.*", "s.sid", "s.source_size", "s.target"
+        "d.*", "s.sid", "s.source_size", "s.target", "s.unit"
     )
     placed = positions(stored(known), ["sid"], ["id", "key"], {"start": F.col("size")}, rows)
 
@@ -119,17 +124,17 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: in
         .groupBy("shard", "sid")
         .agg(F.count("*").alias("n"))
     )
-    over_shards = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # a shard's draws are numbered within their source, the shards in a hashed order
+    counts = stored(counts)
     counts = stored(
-        counts.join(sources.select("sid", "quota"), "sid")
-        .withColumn("before", F.coalesce(F.sum("n").over(over_shards), F.lit(0)))
+        positions(counts, ["sid"], ["shard"], {"before": F.col("n")}, counts.count())
+        .join(sources.select("sid", "quota"), "sid")
         .withColumn("keep", F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("before"))))
     )
     kept = counts.filter("keep > 0").select("shard", "sid", F.explode(F.expr("sequence(before, before + keep - 1)")).alias("ordinal"))
     # slots drawn beyond a quota, in turn, go to the blocks that are missing, in turn
-    running = Window.orderBy("shard", "sid").rowsBetween(Window.unboundedPreceding, -1)
-    spare = counts.filter("n > keep").select("shard", "sid", (F.col("n") - F.col("keep")).alias("spare"))
-    spare = spare.withColumn("from", F.coalesce(F.sum("spare").over(running), F.lit(0))).select(
+    spare = stored(counts.filter("n > keep").select("shard", "sid", (F.col("n") - F.col("keep")).alias("spare")))
+    spare = positions(spare, [], ["shard", "sid"], {"from": F.col("spare")}, spare.count()).select(
         "shard", F.explode(F.expr("sequence(from, from + spare - 1)")).alias("e")
     )
     got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
@@ -148,16 +153,16 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: in
     return placed, picks
 
 
-def shares(placed: DataFrame, picks: DataFrame, block: int) -> DataFrame:
+def shares(placed: DataFrame, picks: DataFrame) -> DataFrame:
     """Rows (document, block): the words ``lo`` to ``hi`` of the document that lie in the block, and the ``epochs`` that draw it (bits)."""
     drawn = picks.groupBy("sid", "block").agg(F.sum(F.expr("1L << cast(epoch as int)")).alias("epochs"))
     cut = placed.filter("size > 0").withColumn(
-        "block", F.explode(F.expr(f"sequence(start div {block}L, (start + size - 1) div {block}L)"))
+        "block", F.explode(F.expr("sequence(start div unit, (start + size - 1) div unit)"))
     )
     return cut.join(drawn, ["sid", "block"], "left").withColumns({
         "epochs": F.coalesce("epochs", F.lit(0)),
-        "lo": F.expr(f"greatest(0L, block * {block}L - start)"),
-        "hi": F.expr(f"least(size, (block + 1) * {block}L - start)"),
+        "lo": F.expr("greatest(0L, block * unit - start)"),
+        "hi": F.expr("least(size, (block + 1) * unit - start)"),
     })
 
 
@@ -180,7 +185,7 @@ def mix(
     placed, picks = plan(docs, id_col, text_col, source_col, block, seed, slots)
     placed = stored(placed)
     names = ["id", "size", "source_size", "target", "sid", "start"]
-    counted = shares(placed, picks, block).groupBy(*names).agg(
+    counted = shares(placed, picks).groupBy(*names).agg(
         F.sum((F.col("hi") - F.col("lo")) * F.bit_count("epochs")).alias("taken")
     )
     none = placed.filter("size = 0").select(*names, F.lit(0).cast("long").alias("taken"))
@@ -210,7 +215,7 @@ def mixed_documents(
     alike = Window.partitionBy("id", "key").orderBy(F.lit(0))
     numbered = placed.withColumn("copy", F.row_number().over(alike))
     drawn = (
-        shares(stored(numbered), picks, block)
+        shares(stored(numbered), picks)
         .groupBy("id", "key", "copy", "size")
         .agg(
             F.sort_array(F.collect_list(F.when(F.col("epochs") > 0, F.struct("lo", "hi", "epochs")))).alias("parts"),
@@ -231,9 +236,9 @@ def mixed_documents(
     bit = F.expr("1L << e")
     pieces = F.filter("parts", lambda p: p["epochs"].bitwiseAND(bit) != 0)
     own = F.split(F.regexp_replace(text, f"^{SPACE}", ""), SPACE)
-    cut = F.array_join(
-        F.flatten(F.transform(pieces, lambda p: F.slice(own, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " "
-    )
+    # the words are bound once, as the one item of an array: the text is split once, not for each of its pieces
+    taken = lambda w: F.flatten(F.transform(pieces, lambda p: F.slice(w, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int"))))
+    cut = F.array_join(F.get(F.transform(F.array(own), taken), F.lit(0)), " ")
     new = F.when(F.col("whole").bitwiseAND(bit) != 0, text).otherwise(cut)
     out = fanned.withColumn("new", new)
     return out.select(*[
