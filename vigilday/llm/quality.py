@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
+from vigilday.functions.storage import stored
 from vigilday.llm.common import table
 from vigilday.llm.registry import query
 
@@ -25,8 +26,8 @@ SHRINK = 64
 HIDDEN, GATE = 32, 16
 SEED = 7
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.01, 1e-5
-# labelled documents of each class, and passages of each (evenly spaced), that the model is fitted on
-SAMPLE, SAMPLE_PASSAGES = 3000, 16
+# labelled documents of each class that the model is fitted on, and passages of all those of a class together
+SAMPLE, SAMPLE_PASSAGES = 3000, 30_000
 THRESHOLD = 0.3
 # passages of a text that are encoded at a time
 CHUNK = 512
@@ -150,14 +151,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The encoded passages of sampled documents, as bytes."""
+    """All passages of sampled documents, encoded, as bytes."""
     for batch in batches:
         bags = []
         for value in batch.column("text"):
             text = value.as_buffer().to_pybytes() if value.is_valid else b""
-            spread = np.unique(np.linspace(0, passages(text) - 1, SAMPLE_PASSAGES).round().astype(int))
-            bag = np.concatenate([encode(text[i * PASSAGE : (i + 1) * PASSAGE]) for i in spread])
-            bags.append(bag.astype("<f4").tobytes())
+            bags.append(encode(text).astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("id").cast(pa.string()), batch.column("label"), batch.column("importance"), pa.array(bags, pa.binary())],
             names=["id", "label", "importance", "bag"],
@@ -180,19 +179,28 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> AttentionModel:
     """Fit on at most ``SAMPLE`` labelled documents of each class, those with the least hash of their id.
 
-    Held-out documents, null labels and ids, and labels other than 0 and 1 are left out. Each class counts as
-    often as it occurs among all labels used, so that scores are probabilities. The sample is bounded, so one task fits it;
-    the weights, some ten thousand numbers, are all that the driver sees.
+    They are whole texts: those of over a tenth of ``SAMPLE_PASSAGES`` are passed over, the others are taken in the order of
+    the hash until the class has ``SAMPLE_PASSAGES`` passages. Held-out documents, null labels and ids, and labels other than 0 and 1 are
+    left out. Each class counts as often as it occurs among all labels used, so that scores are probabilities. The sample
+    is bounded, so one task fits it; the weights, some ten thousand numbers, are all that the driver sees.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter(
         F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id"))
     )
-    each = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(SEED), "id"), "id")
-    chosen = known.withColumn("place", F.row_number().over(each)).filter(F.col("place") <= SAMPLE)
-    counts = known.groupBy("label").agg(F.count("*").alias("all"))
-    chosen = chosen.join(counts, "label").select("id", "label", (F.col("all") / F.least("all", F.lit(SAMPLE))).alias("importance"))
+    by_hash = F.xxhash64(F.lit(SEED), "id")
+    first = [known.filter(F.col("label") == c).orderBy(by_hash, "id").limit(SAMPLE) for c in (0, 1)]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id")  # 2 * SAMPLE rows at most
+    size = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
+    sized = texts.join(F.broadcast(first[0].union(first[1])), "id").groupBy("id", "label").agg(F.sum(size).alias("n"))
+    # 2 * SAMPLE rows at most: one task adds them up
+    fitting = Window.partitionBy("label").orderBy(by_hash, "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    small = sized.filter(F.col("n") <= SAMPLE_PASSAGES // 10).withColumn("upto", F.sum("n").over(fitting))
+    chosen = small.filter(F.col("upto") <= SAMPLE_PASSAGES)
+    counts = known.groupBy("label").agg(F.count("*").alias("all"))
+    used = chosen.groupBy("label").agg(F.count("*").alias("used"))
+    weight = counts.join(used, "label").select("label", (F.col("all") / F.col("used")).alias("importance"))
+    chosen = stored(chosen.join(weight, "label").select("id", "label", "importance"))
+    sample = texts.join(F.broadcast(chosen), "id")  # 2 * SAMPLE ids at most
     encoded = sample.select("id", "label", "importance", "text").mapInArrow(
         _bags, "id string, label int, importance double, bag binary"
     )
