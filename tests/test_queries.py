@@ -30,5 +30,5 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_entry_finds_unusual_days(spark):
     found = entry.entry(spark)
-    assert found.columns == ["user_id", "day", "score", "tau", "margin"]
+    assert set(found.columns) == {"user_id", "day", "score", "tau", "margin", "tau_from", "role", "rank"}
     assert found.count() > 0 and found.filter("margin <= 0").count() == 0

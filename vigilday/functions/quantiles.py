@@ -38,13 +38,3 @@ def exact_quantile(
     return around.select(
         *keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_share")).alias(name), f"n_{name}"
     )
-
-
-def sketch_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str = "q") -> DataFrame:
-    """Approximate form of :func:`exact_quantile` by a mergeable KLL sketch."""
-    sketched = df.groupBy(*keys).agg(
-        F.kll_sketch_agg_double(F.col(value)).alias("_sketch"), F.count(value).alias(f"n_{name}")
-    )
-    return sketched.select(
-        *keys, F.kll_sketch_get_quantile_double("_sketch", F.lit(float(p))).alias(name), f"n_{name}"
-    )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilday.functions.joins import lookup_join
+from vigilday.functions.windows import trailing
 
 KEYS = ["user_id", "day"]
 
@@ -172,3 +175,136 @@ def pca_score(x_f: DataFrame, model: PipelineModel) -> DataFrame:
     return model.transform(x_f).select(
         *KEYS, F.greatest(length("_z") - length("_p"), F.lit(0.0)).alias("s_f")
     )
+
+
+def daily_state(x_f: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("day",)) -> DataFrame:
+    """Mergeable state of the columns per key: ``n``, ``means`` and ``comoments`` (sums of products of deviations, by rows).
+
+    States are merged by :func:`merge_state`, so a further day is added, or a day left out, without reading any other again.
+    """
+    def product(a: str, b: str) -> Column:
+        return (F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")) * F.count(F.lit(1))).alias(f"{a}|{b}")
+
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    sums = x_f.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m|{c}") for c in columns], *[product(a, b) for a, b in pairs]
+    )
+    known = {f"{a}|{b}" for a, b in pairs}
+    return sums.select(
+        *keys, "n",
+        F.array(*[F.col(f"`m|{c}`") for c in columns]).alias("means"),
+        F.array(*[F.col(f"`{a}|{b}`" if f"{a}|{b}" in known else f"`{b}|{a}`") for a in columns for b in columns]).alias("comoments"),
+    )
+
+
+def merge_state(states: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One state from many: the rows (``i``, ``j``, ``n``, ``mean_i``, ``mean_j``, ``comoment``) of all pairs of columns.
+
+    The parts' co-moments are added to those of their means around the common mean.
+    """
+    d = len(columns)
+    names = F.array(*[F.lit(c) for c in columns])
+    means = states.agg(
+        F.sum("n").alias("_n"), *[(F.sum(F.col("n") * F.get("means", F.lit(i))) / F.sum("n")).alias(f"_m{i}") for i in range(d)]
+    )
+    both = states.join(F.broadcast(means), F.lit(True))  # one row
+    off = [F.get("means", F.lit(i)) - F.col(f"_m{i}") for i in range(d)]
+    total = [
+        F.sum(F.get("comoments", F.lit(i * d + j)) + F.col("n") * off[i] * off[j]).alias(f"_c{i * d + j}") for i in range(d) for j in range(d)
+    ]
+    first = [F.first(f"_m{i}").alias(f"_m{i}") for i in range(d)]
+    merged = both.agg(F.first("_n").alias("n"), *first, *total)
+    rows = F.array(*[
+        F.struct(
+            F.get(names, F.lit(i)).alias("i"), F.get(names, F.lit(j)).alias("j"), F.col("n"), F.col(f"_m{i}").alias("mean_i"),
+            F.col(f"_m{j}").alias("mean_j"), F.col(f"_c{i * d + j}").alias("comoment"),
+        )
+        for i in range(d) for j in range(d)
+    ])
+    return merged.select(F.explode(rows).alias("_r")).select("_r.*").filter("n > 0")
+
+
+@dataclass(frozen=True)
+class Directions:
+    """Principal directions of standardised columns, largest variance first, with what is needed to standardise."""
+
+    columns: tuple[str, ...]
+    means: tuple[float, ...]
+    sds: tuple[float, ...]
+    variances: tuple[float, ...]
+    directions: tuple[tuple[float, ...], ...]
+
+
+def fit_directions(state: DataFrame, columns: Sequence[str]) -> Directions:
+    """The principal directions from :func:`merge_state`: d * d numbers reach the driver, whatever the rows.
+
+    A column without spread is left at 0 and adds nothing to any direction.
+    """
+    rows = {(r["i"], r["j"]): r for r in state.collect()}
+    if not rows:
+        raise ValueError("there are no rows to fit on")
+    n = next(iter(rows.values()))["n"]
+    cov = np.array([[rows[a, b]["comoment"] for b in columns] for a in columns]) / max(1, n - 1)
+    sds = np.sqrt(np.diag(cov))
+    scale = np.where(sds > 0, sds, 1.0)
+    values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
+    return Directions(
+        tuple(columns), tuple(float(rows[c, c]["mean_i"]) for c in columns), tuple(float(s) for s in sds),
+        tuple(float(v) for v in values[::-1]), tuple(tuple(float(x) for x in vectors[:, i]) for i in range(len(columns))[::-1]),
+    )
+
+
+def reconstruction_errors(x_f: DataFrame, fit: Directions, keep: Sequence[str] = KEYS) -> DataFrame:
+    """Squared distance of every row from the span of the first k directions, for k = 0 to d: column ``errors``.
+
+    One pass gives all k, so choosing the latent size costs no further fit.
+    """
+    z = [
+        (F.col(c).cast("double") - F.lit(m)) / F.lit(s) if s else F.lit(0.0)
+        for c, m, s in zip(fit.columns, fit.means, fit.sds)
+    ]
+    marked = x_f.select(*keep, *[v.alias(f"_z{i}") for i, v in enumerate(z)])
+    parts = [sum((F.lit(w) * F.col(f"_z{i}") for i, w in enumerate(d)), F.lit(0.0)) for d in fit.directions]
+    whole = sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(len(z))), F.lit(0.0))
+    marked = marked.withColumns({"_all": whole, **{f"_p{i}": p * p for i, p in enumerate(parts)}})
+    errors = [
+        F.greatest(F.col("_all") - sum((F.col(f"_p{i}") for i in range(k)), F.lit(0.0)), F.lit(0.0)) for k in range(len(parts) + 1)
+    ]
+    return marked.select(*keep, F.array(*errors).alias("errors"))
+
+
+def latent_losses(x_f: DataFrame, fit: Directions) -> DataFrame:
+    """Per k the mean error of train rows, of validation rows, and the variance that k directions discard of train rows.
+
+    ``x_f`` has the part. The train error equals the discarded variance, never grows with k, and is 0 with all directions.
+    """
+    d = len(fit.columns)
+    errors = reconstruction_errors(x_f, fit, ["split"])
+    found = errors.filter("split in ('train', 'val')").groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.get("errors", F.lit(k))) for k in range(d + 1)]).alias("mean")
+    )
+    wide = found.agg(*[
+        F.max(F.when(F.col("split") == part, F.struct("n", "mean"))).alias(part) for part in ("train", "val")
+    ])
+    discarded = F.array(*[F.lit(float(sum(fit.variances[k:]))) for k in range(d + 1)])
+    return wide.select("train", "val", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("latent")).select(
+        "latent",
+        F.get("train.mean", F.col("latent")).alias("train_error"),
+        # variances divide by one row less than the mean does
+        (F.get(discarded, F.col("latent")) * (F.col("train.n") - 1) / F.col("train.n")).alias("discarded"),
+        F.get("val.mean", F.col("latent")).alias("error"),
+    )
+
+
+def trailing_breadth(events: DataFrame, days: int, lg_k: int = 12) -> DataFrame:
+    """About how many different objects a user touched on days ``[d - days, d - 1]``: ``n_objects_past``.
+
+    One sketch per user-day is made from the events; a window is the union of its days' sketches, so no
+    event is read for more than its own day. Without earlier days it is 0. The relative standard error is about 0.8 / sqrt(2^lg_k).
+    """
+    sketches = events.groupBy(*KEYS).agg(F.hll_sketch_agg("object", F.lit(lg_k)).alias("_sketch"))
+    past = F.hll_union_agg("_sketch").over(trailing(["user_id"], days))
+    before = F.count(F.lit(1)).over(trailing(["user_id"], days))
+    return sketches.withColumns({"_past": past, "_days": before}).select(
+        *KEYS, F.when(F.col("_days") > 0, F.hll_sketch_estimate("_past")).otherwise(F.lit(0)).cast("bigint").alias("n_objects_past")
+    )

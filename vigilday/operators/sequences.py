@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,6 +186,23 @@ def nll(steps: DataFrame, model: CountModel, **bounds) -> DataFrame:
     return out.withColumn("nll", -F.log(mixed)).drop(*helpers)
 
 
+def held_out_loss(near: DataFrame, train: str = "split = 'train'", target: str = "split = 'val'", **bounds) -> DataFrame:
+    """Mean surprise of the target tokens under each order model: ``order`` (n-gram length, 0 for the masked model), ``nll``, ``n``.
+
+    ``near`` is a result of :func:`neighbours` with two tokens before and one after, and the part. The steps of
+    both parts are counted once for all models; no label is read.
+    """
+    counted = stored(count_steps(near, ["split"]))
+    known, later = counted.filter(train), counted.filter(target)
+    models = {0: fit_cloze(known), 2: fit_ngram(known, 2), 3: fit_ngram(known, 3)}
+    losses = [
+        nll(later, model, **bounds).agg((F.sum(F.col("nll") * F.col("n")) / F.sum("n")).alias("nll"), F.sum("n").alias("n"))
+        .select(F.lit(order).alias("order"), "nll", "n")
+        for order, model in models.items()
+    ]
+    return reduce(DataFrame.unionByName, losses)
+
+
 def sampled(ratio: float, *key: Column | str) -> Column:
     """Whether a place is masked: fixed by its user, day and position (and a seed)."""
     return unit_hash(*(key or ("user_id", "day", "pos"))) < ratio

@@ -9,16 +9,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilday.functions.joins import lookup_join
 from vigilday.functions.ordering import MAX_GROUP, top_rows
-from vigilday.functions.quantiles import exact_quantile, sketch_quantile
+from vigilday.functions.quantiles import exact_quantile
 from vigilday.functions.windows import trailing
 
 KEYS = ["user_id", "day"]
 EPS = 1e-9
+# k of the quantile sketches
+SKETCH = 200
 
 
 def quantile_threshold(
@@ -39,7 +41,7 @@ def first_day(scores: DataFrame) -> date:
     return scores.agg(F.min("day")).first()[0]
 
 
-def _covered_blocks(scores: DataFrame, refresh: int, days: int, start: date) -> DataFrame:
+def covered_blocks(scores: DataFrame, refresh: int, days: int, start: date) -> DataFrame:
     """Each row once per refresh block whose history window it lies in.
 
     Block k uses days ``[d0 + kR - days, d0 + kR - 1]``, so a row is in at most
@@ -57,7 +59,7 @@ def _covered_blocks(scores: DataFrame, refresh: int, days: int, start: date) ->
     )
 
 
-def _block_of(scores: DataFrame, refresh: int, start: date) -> DataFrame:
+def block_of(scores: DataFrame, refresh: int, start: date) -> DataFrame:
     return scores.withColumn("block", F.floor(F.datediff("day", F.lit(start)) / refresh).cast("int"))
 
 
@@ -70,14 +72,14 @@ def refreshed_threshold(
     One quantile per user and block, instead of one per user and day.
     """
     start = start or first_day(scores)
-    history = _covered_blocks(scores.filter(F.col(score).isNotNull()), refresh, days, start)
+    history = covered_blocks(scores.filter(F.col(score).isNotNull()), refresh, days, start)
     taus = (
         history.groupBy("user_id", "block")
         .agg(F.percentile(F.col(score), F.lit(float(p))).alias("tau"), F.count(F.lit(1)).alias("_h"))
         .filter(F.col("_h") >= min_hist)
         .drop("_h")
     )
-    return _block_of(scores, refresh, start).join(taus, ["user_id", "block"], "left")
+    return block_of(scores, refresh, start).join(taus, ["user_id", "block"], "left")
 
 
 def threshold_series(with_tau: DataFrame) -> DataFrame:
@@ -90,6 +92,59 @@ def threshold_series(with_tau: DataFrame) -> DataFrame:
     )
 
 
+def threshold_intervals(with_tau: DataFrame, refresh: int, start: date) -> DataFrame:
+    """The thresholds of :func:`refreshed_threshold` as closed-open validity intervals: user_id, valid_from, valid_to, tau.
+
+    A threshold takes effect on the first day of its block and holds until the user's next one, over blocks in which the
+    history was too short; the last has no end (NULL).
+    """
+    begins = F.date_add(F.lit(start), (F.col("block") * refresh).cast("int"))
+    taken = (
+        with_tau.filter(F.col("tau").isNotNull()).groupBy("user_id", "block").agg(F.max("tau").alias("tau"))
+        .select("user_id", begins.alias("valid_from"), "tau")
+    )
+    after = F.lead("valid_from").over(Window.partitionBy("user_id").orderBy("valid_from"))
+    return taken.select("user_id", "valid_from", after.alias("valid_to"), "tau")
+
+
+def in_force(scores: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Add ``tau``, the threshold in force on the day of each score, whenever the score arrives.
+
+    No quantile is computed again: intervals and scores of a user are put in one order and the latest
+    threshold is carried forward, one shuffle and no pairs. Before a user's first interval there is no threshold.
+    """
+    starts = intervals.select("user_id", F.col("valid_from").alias("day"), F.lit(0).alias("_kind"), "tau")
+    rest = [c for c in scores.columns if c not in (*KEYS, "tau")]
+    rows = scores.select(*KEYS, F.lit(1).alias("_kind"), F.struct("day", *rest).alias("_row"))
+    so_far = (
+        Window.partitionBy("user_id").orderBy("day", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        rows.unionByName(starts, allowMissingColumns=True)
+        .withColumn("_tau", F.last("tau", ignorenulls=True).over(so_far))
+        .filter("_kind = 1")
+        .select(*KEYS, *[F.col(f"_row.{c}").alias(c) for c in rest], F.col("_tau").alias("tau"))
+    )
+
+
+def sketched_quantile(
+    scores: DataFrame, keys: Sequence[str], score: str, p: float, days: int, refresh: int, start: date,
+    name: str = "tau", size: int = SKETCH,
+) -> DataFrame:
+    """Per (keys, block) the approximate ``p``-quantile of the block's history, from one sketch per (keys, day).
+
+    The scores of a day are sketched once; a block merges the sketches of its days, so a score is not repeated for every block that
+    covers it. ``size`` is the sketch's k: at 200 ranks are off by about 1.4 % of the scores at most, with 99 % confidence.
+    """
+    daily = scores.filter(F.col(score).isNotNull()).groupBy(*keys, "day").agg(
+        F.kll_sketch_agg_double(F.col(score).cast("double"), size).alias("_sketch"), F.count(F.lit(1)).alias("_n")
+    )
+    merged = covered_blocks(daily, refresh, days, start).groupBy(*keys, "block").agg(
+        F.kll_merge_agg_double("_sketch", size).alias("_sketch"), F.sum("_n").alias(f"n_{name}")
+    )
+    return merged.select(*keys, "block", F.kll_sketch_get_quantile_double("_sketch", F.lit(float(p))).alias(name), f"n_{name}")
+
+
 def cold_start_threshold(
     scores: DataFrame,
     score: str,
@@ -106,18 +161,20 @@ def cold_start_threshold(
 
     A tier is used when its window holds at least ``min_hist`` scores; with no
     tier there is no threshold. Group and company quantiles are exact, from
-    counts of equal scores, or approximate by a mergeable sketch.
+    counts of equal scores, or approximate, from one mergeable sketch per day.
     """
-    quantile = sketch_quantile if sketch else (
-        lambda df, keys, value, p, name: exact_quantile(df, keys, value, p, name, max_group)
-    )
     start = first_day(scores)
     own = refreshed_threshold(scores, score, p, days, refresh, min_hist, start).withColumnRenamed("tau", "tau_own")
-    history = _covered_blocks(scores.filter(F.col(score).isNotNull()), refresh, days, start)
-    by_group = quantile(
-        history.filter(F.col(group_key).isNotNull()), [group_key, "block"], score, p, "tau_group"
-    )
-    by_all = quantile(history, ["block"], score, p, "tau_all")
+    known = scores.filter(F.col(score).isNotNull())
+    if sketch:
+        in_group = known.filter(F.col(group_key).isNotNull())
+        by_group = sketched_quantile(in_group, [group_key], score, p, days, refresh, start, "tau_group")
+        by_all = sketched_quantile(known, [], score, p, days, refresh, start, "tau_all")
+    else:
+        history = covered_blocks(known, refresh, days, start)
+        in_group = history.filter(F.col(group_key).isNotNull())
+        by_group = exact_quantile(in_group, [group_key, "block"], score, p, "tau_group", max_group)
+        by_all = exact_quantile(history, ["block"], score, p, "tau_all", max_group)
     out = lookup_join(own, by_group, [group_key, "block"], **bounds)
     out = lookup_join(out, by_all, ["block"], **bounds)
     group_tau = F.when(F.col("n_tau_group") >= min_hist, F.col("tau_group"))

@@ -19,6 +19,7 @@ from vigilday.functions.ordering import top_rows
 from vigilday.functions.storage import stored
 from vigilday.functions.windows import trailing, unit_hash
 from vigilday.operators.fusion import fuse
+from vigilday.operators.threshold import EPS
 from vigilday.operators.tiers import guard_group, shrink, weights
 
 SUMS = ("n", "a", "b", "aa", "bb", "ab")
@@ -31,15 +32,25 @@ class Trial:
     k_p: int
     k_g: int
     days: int
+    p: float = 0.95
+    order: int = 2
+    latent: int = 2
 
 
 @dataclass(frozen=True)
 class Space:
-    """Ranges searched: alpha in [0, 1] to two digits, whole numbers, and a list of windows."""
+    """Ranges searched: alpha in [0, 1] to two digits, whole numbers, and lists.
+
+    ``order`` is the length of the order model's n-grams, 0 for the masked model;
+    ``latent`` the number of directions the volume model keeps.
+    """
 
     k_p: tuple[int, int] = (1, 20)
     k_g: tuple[int, int] = (5, 60)
     days: tuple[int, ...] = (7, 14)
+    p: tuple[float, ...] = (0.8, 0.9, 0.95, 0.99)
+    order: tuple[int, ...] = (0, 2, 3)
+    latent: tuple[int, ...] = (1, 2, 3, 4)
 
 
 def draw_trials(n: int, seed: int, space: Space = Space()) -> list[Trial]:
@@ -51,9 +62,13 @@ def draw_trials(n: int, seed: int, space: Space = Space()) -> list[Trial]:
     def whole(i: int, name: str, low: int, high: int) -> int:
         return low + int(u(i, name) * (high - low + 1))
 
+    def one_of(i: int, name: str):
+        choices = getattr(space, name)
+        return choices[int(u(i, name) * len(choices))]
+
     return [
         Trial(i, round(u(i, "alpha"), 2), whole(i, "k_p", *space.k_p), whole(i, "k_g", *space.k_g),
-              space.days[int(u(i, "days") * len(space.days))])
+              *[one_of(i, name) for name in ("days", "p", "order", "latent")])
         for i in range(1, n + 1)
     ]
 
@@ -94,12 +109,14 @@ def _with_past_sums(ud: DataFrame, group_key: str, windows: Sequence[int], **bou
     return past(out, ["user_id"], "p").drop(*[f"_{k}" for k in SUMS])
 
 
-def _trial_scores(summed: DataFrame, trials: Sequence[Trial], days: int, floor: float) -> DataFrame:
-    """Deviation of every validation row under each trial with this window length."""
+def _trial_scores(
+    summed: DataFrame, trials: Sequence[Trial], days: int, floor: float, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Deviation of every row under each trial with this window length."""
     sums = [F.col(f"{k}_{t}_{days}").alias(f"{k}_{t}") for t in "pga" for k in SUMS]
     choices = ", ".join(f"{t.trial}, {t.alpha}D, {t.k_p}, {t.k_g}" for t in trials)
     fan = summed.select(
-        "user_id", "day", "s_f", "s_s", "group_ok", *sums,
+        "user_id", "day", *keep, "s_f", "s_s", "group_ok", *sums,
         F.expr(f"stack({len(trials)}, {choices}) as (trial, alpha, k_p, k_g)"),
     ).filter("n_a > 0")
     fan = fan.withColumn("s", fuse("s_f", "s_s", F.col("alpha")))
@@ -114,7 +131,25 @@ def _trial_scores(summed: DataFrame, trials: Sequence[Trial], days: int, floor:
     return (
         fan.withColumns(weights("k_p", "k_g"))
         .withColumn("z", F.round(shrink("s", floor), 6))
-        .select("trial", "day", "user_id", "z")
+        .select("trial", "day", "user_id", *keep, "z")
+    )
+
+
+def _stability(found: DataFrame) -> DataFrame:
+    """Mean overlap of one day's alerts with the next day's, per trial. A budget bounds the rows per trial and day."""
+    mine = Window.partitionBy("trial", "user_id").orderBy("day")
+    stays = found.withColumn(
+        "_again", (F.datediff("day", F.lag("day").over(mine)) == 1).cast("int")
+    )
+    daily = stays.groupBy("trial", "day").agg(
+        F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("_again"), F.lit(0)).alias("_both")
+    )
+    days = Window.partitionBy("trial").orderBy("day")
+    overlap = daily.withColumns({
+        "_gap": F.datediff("day", F.lag("day").over(days)), "_n0": F.lag("_n").over(days)
+    }).filter("_gap = 1")
+    return overlap.groupBy("trial").agg(
+        F.avg(F.col("_both") / (F.col("_n") + F.col("_n0") - F.col("_both"))).alias("objective")
     )
 
 
@@ -137,21 +172,7 @@ def sweep(
         [_trial_scores(summed, [t for t in trials if t.days == d], d, floor) for d in windows],
     )
     found = top_rows(scored, ["trial", "day"], [F.desc("z"), F.col("user_id")], budget)
-    # at most budget rows per trial and day from here on
-    mine = Window.partitionBy("trial", "user_id").orderBy("day")
-    stays = found.withColumn(
-        "_again", (F.datediff("day", F.lag("day").over(mine)) == 1).cast("int")
-    )
-    daily = stays.groupBy("trial", "day").agg(
-        F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("_again"), F.lit(0)).alias("_both")
-    )
-    days = Window.partitionBy("trial").orderBy("day")
-    overlap = daily.withColumns({
-        "_gap": F.datediff("day", F.lag("day").over(days)), "_n0": F.lag("_n").over(days)
-    }).filter("_gap = 1")
-    objective = overlap.groupBy("trial").agg(
-        F.avg(F.col("_both") / (F.col("_n") + F.col("_n0") - F.col("_both"))).alias("objective")
-    )
+    objective = _stability(found)
     values = ", ".join(f"{t.trial}, {t.alpha}D, {t.k_p}, {t.k_g}, {t.days}" for t in trials)
     given = ud.sparkSession.range(1).select(
         F.expr(f"stack({len(trials)}, {values}) as (trial, alpha, k_p, k_g, days)")
@@ -159,6 +180,99 @@ def sweep(
     return given.join(objective, "trial", "left")
 
 
+def search(
+    ud: DataFrame, trials: Sequence[Trial], order_loss: DataFrame, latent_loss: DataFrame, *, group_key: str,
+    min_group_size: int, budget: int, floor: float = 0.5, eps: float = EPS, **bounds,
+) -> DataFrame:
+    """All trials with three objectives, none of which reads a label.
+
+    ``stability``: the overlap of one validation day's alerts with the next's, an alert being a deviation above the
+    user's own threshold, the trial's ``p``-quantile of the user's train deviations. A user's train
+    deviations under a trial are one sorted history, from which the quantiles at all ``p`` of the
+    search are read at once. ``order_loss`` (order, nll) and ``latent_loss`` (latent, error) give the held-out losses of the
+    two models, one row per setting. ``ud`` has user_id, day, split, s_f, s_s and the group.
+    """
+    windows = sorted({t.days for t in trials})
+    grid = sorted({t.p for t in trials})
+    ud = stored(ud)
+    guarded = guard_group(ud, [group_key], min_group_size, **bounds)
+    summed = stored(_with_past_sums(guarded, group_key, windows, **bounds).filter("split in ('train', 'val')"))
+    scored = stored(reduce(
+        DataFrame.unionByName,
+        [_trial_scores(summed, [t for t in trials if t.days == d], d, floor, ["split"]) for d in windows],
+    ))
+    place = F.create_map(*[F.lit(x) for t in trials for x in (t.trial, grid.index(t.p) + 1)])
+    # a user's days bound the history that one (trial, user) holds
+    history = scored.filter("split = 'train' and z is not null").groupBy("trial", "user_id").agg(
+        F.percentile("z", F.array(*[F.lit(float(p)) for p in grid])).alias("_taus")
+    )
+    taus = history.select("trial", "user_id", F.element_at("_taus", place[F.col("trial")]).alias("tau"))
+    above = (
+        scored.filter("split = 'val'").join(taus, ["trial", "user_id"])
+        .withColumn("margin", F.col("z") - F.col("tau")).filter(F.col("margin") > eps)
+    )
+    found = stored(top_rows(above, ["trial", "day"], [F.desc(F.round("margin", 9)), F.col("user_id")], budget))
+    days = scored.filter("split = 'val'").agg(F.count_distinct("day").alias("_days"))
+    volume = found.groupBy("trial").agg(F.count(F.lit(1)).alias("_alerts"))
+    values = ", ".join(f"{t.trial}, {t.alpha}D, {t.k_p}, {t.k_g}, {t.days}, {t.p}D, {t.order}, {t.latent}" for t in trials)
+    given = ud.sparkSession.range(1).select(
+        F.expr(f"stack({len(trials)}, {values}) as (trial, alpha, k_p, k_g, days, p, order, latent)")
+    )
+    # one row per trial, setting or in all: small whatever the data
+    return (
+        given.join(_stability(found).withColumnRenamed("objective", "stability"), "trial", "left")
+        .join(volume, "trial", "left")
+        .join(order_loss.select("order", "nll"), "order", "left")
+        .join(latent_loss.select("latent", "error"), "latent", "left")
+        .join(F.broadcast(days), F.lit(True))
+        .select(
+            *[f for f in Trial.__dataclass_fields__], "stability", "nll", "error",
+            F.try_divide(F.coalesce("_alerts", F.lit(0)).cast("double"), F.col("_days")).alias("alerts_per_day"),
+        )
+    )
+
+
+def searched_table(trials: DataFrame, run: str, space: Space = Space()) -> DataFrame:
+    """Chosen value per parameter of :func:`search`, with its tier, range, goal, objective, trial and run.
+
+    Fusion, tier and threshold parameters come from the most stable trial, a model's from the trial with its least held-out
+    loss; the earliest of equals.
+    """
+
+    def listed(values: Sequence) -> str:
+        return "{" + ", ".join(str(v) for v in values) + "}"
+
+    goals = {
+        "stability": ("stability", {
+            "alpha": ("fusion", "[0, 1]"),
+            "k_p": ("tiers", f"[{space.k_p[0]}, {space.k_p[1]}]"),
+            "k_g": ("tiers", f"[{space.k_g[0]}, {space.k_g[1]}]"),
+            "days": ("tiers", listed(space.days)),
+            "p": ("threshold", listed(space.p)),
+        }),
+        "nll": ("-nll", {"order": ("order model", listed(space.order))}),
+        "error": ("-error", {"latent": ("volume model", listed(space.latent))}),
+    }
+    trials = stored(trials)
+    parts = []
+    for goal, (score, facts) in goals.items():
+        best = (
+            trials.withColumn("_score", F.round(F.expr(score), 9)).filter("_score is not null")
+            .orderBy(F.desc("_score"), "trial").limit(1)
+        )
+        rows = F.array(*[
+            F.struct(
+                F.lit(tier).alias("tier"), F.lit(name).alias("parameter"),
+                F.col(name).cast("double").alias("value"), F.lit(span).alias("search_range"),
+            )
+            for name, (tier, span) in facts.items()
+        ])
+        parts.append(best.select(
+            F.explode(rows).alias("_r"), F.lit(goal).alias("goal"), F.col(goal).alias("objective"), "trial"
+        ).select("_r.*", "goal", "objective", "trial", F.lit(run).alias("run_id")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def best_trial(trials: DataFrame) -> DataFrame:
     """The trial with the largest objective; the earliest of equals."""
     return trials.filter("objective is not null").orderBy(F.desc(F.round("objective", 9)), "trial").limit(1)

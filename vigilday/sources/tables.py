@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,3 +92,36 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.parquet(path).schema
     text = [T.StructField(f.name, T.StringType()) if f.name == "run_id" else f for f in found]
     return spark.read.schema(T.StructType(text)).parquet(path)
+
+
+def write_by_user(df: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Store a table with user_id and day as ``name``, dealt over ``buckets`` by user and sorted by day.
+
+    Windows by user and joins on the user read it without a shuffle. A folder of its own at ``path`` holds the files.
+    """
+    (
+        df.repartition(buckets, "user_id").write.mode("overwrite").bucketBy(buckets, "user_id").sortBy("user_id", "day")
+        .option("path", path).saveAsTable(name)
+    )
+
+
+def append_run(rows: DataFrame, path: str, run_id: str) -> None:
+    """Append the rows of one run to the ledger at ``path``; a run that is appended again counts once, with its last rows.
+
+    The rows are written under the name of this attempt first, then a one-row commit names the attempt. A write that ends half-way leaves rows that
+    no commit names, which :func:`read_ledger` ignores. Nothing that is there is read, moved or overwritten.
+    """
+    attempt = uuid.uuid4().hex
+    marked = rows.withColumns({"run_id": F.lit(run_id), "attempt": F.lit(attempt)})
+    marked.write.mode("append").parquet(f"{path}/rows")
+    commit = rows.sparkSession.range(1).select(
+        F.lit(run_id).alias("run_id"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("committed_at")
+    )
+    commit.write.mode("append").parquet(f"{path}/commits")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of every run's last committed attempt."""
+    commits = spark.read.parquet(f"{path}/commits")
+    last = commits.groupBy("run_id").agg(F.max_by("attempt", F.struct("committed_at", "attempt")).alias("attempt"))
+    return spark.read.parquet(f"{path}/rows").join(last.select("attempt"), "attempt", "left_semi").drop("attempt")
