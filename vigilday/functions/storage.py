@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,13 +38,38 @@ def stored(df: DataFrame) -> DataFrame:
     """
     if getattr(df, "_is_stored", False):
         return df
+    return _write(df, df)
+
+
+def _write(df: DataFrame, watched: DataFrame) -> DataFrame:
     path = new_table_path(df.sparkSession, "stored")
-    df.write.parquet(path)
+    watched.write.parquet(path)
     copy = df.sparkSession.read.schema(df.schema).parquet(path)
     copy._is_stored = True
     return copy
 
 
+def measured(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """:func:`stored` with its number of rows and about their bytes in memory, observed while it is written."""
+    def size(field: T.StructField):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)) + 16
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(f"`{field.name}`"))), F.lit(0)) + 16
+        return F.lit(8)
+
+    row = sum((size(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    metrics = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0)).alias("bytes")]
+    if getattr(df, "_is_stored", False):
+        if not hasattr(df, "_size"):
+            df._size = tuple(df.agg(*metrics).first())
+        return df, *df._size
+    seen = Observation()
+    copy = _write(df, df.observe(seen, *metrics))
+    copy._size = (seen.get["rows"], seen.get["bytes"])
+    return copy, *copy._size
+
+
 def _app_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
 

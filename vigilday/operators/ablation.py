@@ -57,7 +57,7 @@ def ablate(variants: DataFrame, labels: DataFrame, p: float, eps: float = EPS) -
     The global threshold is the validation quantile of the variant. Labels
     (user_id, day, label) are joined here and nowhere earlier.
     """
-    variants = stored(variants)
+    variants = stored(variants.filter("split in ('val', 'test')"))
     shared = exact_quantile(
         variants.filter("split = 'val'"), ["stream", "tiers"], "score", p, "tau_all"
     ).drop("n_tau_all")
@@ -68,15 +68,17 @@ def ablate(variants: DataFrame, labels: DataFrame, p: float, eps: float = EPS) -
         .join(F.broadcast(shared), ["stream", "tiers"], "left")  # twelve rows
     )
     test = stored(test)
-    kinds = F.array(
-        F.struct(F.lit("user").alias("threshold"), F.col("tau").alias("_t")),
-        F.struct(F.lit("global").alias("threshold"), F.col("tau_all").alias("_t")),
-    )
-    judged = test.select("stream", "tiers", "label", "score", F.explode(kinds).alias("_k")).select(
-        "stream", "tiers", "label", F.col("_k.threshold").alias("threshold"),
-        F.coalesce((F.col("score") - F.col("_k._t") > eps).cast("int"), F.lit(0)).alias("alert"),
-    )
-    counts = fpr(confusion(judged, ["stream", "tiers", "threshold"]))
+    # both thresholds are counted in one pass, then become rows
+    y = F.col("label") == 1
+    counted = []
+    for kind, tau in (("user", "tau"), ("global", "tau_all")):
+        a = F.coalesce(F.col("score") - F.col(tau) > eps, F.lit(False))
+        counted.append(F.struct(
+            F.lit(kind).alias("threshold"), F.count_if(a & y).alias("tp"), F.count_if(a & ~y).alias("fp"),
+            F.count_if(~a & ~y).alias("tn"), F.count_if(~a & y).alias("fn"),
+        ))
+    judged = test.groupBy("stream", "tiers").agg(F.array(*counted).alias("_k"))
+    counts = fpr(judged.select("stream", "tiers", F.inline("_k")))
     area = pr_auc(
         test.withColumn("score", F.round("score", 9)), "score", by=["stream", "tiers"]
     ).select("stream", "tiers", "pr_auc")

@@ -139,10 +139,13 @@ def bootstrap(
         .groupBy("user_id", score)
         .agg(F.count(F.lit(1)).alias("_m"), F.sum(label).alias("_y"))
     )
+    # a user's draw is made once per replicate, not once per score; a user's scores are bounded by their days
+    per_user = per_user.groupBy("user_id").agg(F.collect_list(F.struct(score, "_m", "_y")).alias("_s"))
     drawn = (
         per_user.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
         .withColumn("_w", poisson_weight(F.lit(seed), F.col("user_id"), F.col("rep")))
         .filter("_w > 0")
+        .select("rep", "_w", F.inline("_s"))
     )
     steps = stored(drawn.groupBy("rep", score).agg(
         F.sum(F.col("_w") * F.col("_m")).alias("_n"), F.sum(F.col("_w") * F.col("_y")).alias("_t")

@@ -177,7 +177,8 @@ def nll(steps: DataFrame, model: CountModel, **bounds) -> DataFrame:
         out = lookup_join(out, model.tables[i], [*context, "token"], **bounds)
         total = model.totals[i]
         if isinstance(total, DataFrame):
-            out = lookup_join(out, total, list(context), **bounds)
+            # a table of totals has no more rows, and narrower ones, than the table it sums
+            out = lookup_join(out, total, list(context), within=model.tables[i], **bounds)
             total = F.coalesce(f"_c{i}", F.lit(0))
         else:
             total = F.lit(total)

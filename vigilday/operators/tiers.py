@@ -118,7 +118,7 @@ def users_seen(ud: DataFrame, keys: Sequence[str]) -> DataFrame:
 def guard_group(ud: DataFrame, keys: Sequence[str], min_size: int, **bounds) -> DataFrame:
     """Add ``n_users`` and ``group_ok``: whether the group had enough users before the day."""
     seen = users_seen(_in_group(ud, keys), keys)
-    return _flag_size(lookup_join(ud, seen, [*keys, "day"], **bounds), min_size)
+    return flag_size(lookup_join(ud, seen, [*keys, "day"], **bounds), min_size)
 
 
 def _in_group(ud: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -127,7 +127,7 @@ def _in_group(ud: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ud
 
 
-def _flag_size(ud: DataFrame, min_size: int) -> DataFrame:
+def flag_size(ud: DataFrame, min_size: int) -> DataFrame:
     return ud.na.fill(0, ["n_users"]).withColumn("group_ok", (F.col("n_users") >= min_size).cast("int"))
 
 
@@ -153,7 +153,7 @@ def baselines(
         users_seen(known, keys), [*keys, "day"]
     )
     with_group = lookup_join(ud, per_group, [*keys, "day"], **bounds).na.fill(0, ["n_g"])
-    return personal(company(_flag_size(with_group, min_group_size), columns, days, centre, ud), columns, days)
+    return personal(company(flag_size(with_group, min_group_size), columns, days, centre, ud), columns, days)
 
 
 def _z(value: Column, mu: Column, sd: Column, floor: float) -> Column:
@@ -244,9 +244,12 @@ def combine(
     raise ValueError(f"unknown weighting {weighting}")
 
 
+PLACEMENTS = ("fused", "streams", "features")
+
+
 def place(
     ud: DataFrame,
-    placement: str,
+    placements: str | Sequence[str],
     *,
     features: Sequence[str],
     alpha: float,
@@ -262,24 +265,23 @@ def place(
     """Apply the tiers to the features, to each stream, or to the fused score.
 
     ``ud`` has the feature columns and both streams s_f and s_s. The result has
-    the placed score ``z``. For ``features`` the volume score is rebuilt as the
-    mean squared deviation of the features.
+    the placed score ``z``, or ``z_<placement>`` of each if several are named: their
+    baselines are one table and one window for all columns. For ``features`` the volume score is
+    rebuilt as the mean squared deviation of the features.
     """
-
-    def deviations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        based = baselines(df, columns, group_key, days, min_group_size)
-        return combine(based, columns, weighting, k_p=k_p, k_g=k_g, shares=shares, floor=floor)
-
-    if placement == "fused":
-        fused = ud.withColumn("s", F.lit(alpha) * F.col("s_f") + F.lit(1 - alpha) * F.col("s_s"))
-        return deviations(fused, ["s"]).withColumn("z", F.col("z_s"))
-    if placement == "streams":
-        both = deviations(ud, ["s_f", "s_s"])
-        return both.withColumn("z", F.lit(alpha) * F.col("z_s_f") + F.lit(1 - alpha) * F.col("z_s_s"))
-    if placement == "features":
-        each = deviations(ud, features)
-        squares = sum((F.col(f"z_{c}") * F.col(f"z_{c}") for c in features), F.lit(0.0))
-        return each.withColumn(
-            "z", F.lit(alpha) * squares / len(features) + F.lit(1 - alpha) * F.col("s_s")
-        )
-    raise ValueError(f"unknown placement {placement}")
+    named = [placements] if isinstance(placements, str) else list(placements)
+    if not set(named) <= set(PLACEMENTS):
+        raise ValueError(f"unknown placement in {named}")
+    needed = {"fused": ["s"], "streams": ["s_f", "s_s"], "features": list(features)}
+    columns = [c for name in named for c in needed[name]]
+    if "fused" in named:
+        ud = ud.withColumn("s", F.lit(alpha) * F.col("s_f") + F.lit(1 - alpha) * F.col("s_s"))
+    based = baselines(ud, columns, group_key, days, min_group_size)
+    each = combine(based, columns, weighting, k_p=k_p, k_g=k_g, shares=shares, floor=floor)
+    squares = sum((F.col(f"z_{c}") * F.col(f"z_{c}") for c in features), F.lit(0.0))
+    value = {
+        "fused": lambda: F.col("z_s"),
+        "streams": lambda: F.lit(alpha) * F.col("z_s_f") + F.lit(1 - alpha) * F.col("z_s_s"),
+        "features": lambda: F.lit(alpha) * squares / len(features) + F.lit(1 - alpha) * F.col("s_s"),
+    }
+    return each.withColumns({("z" if placements == name else f"z_{name}"): value[name]() for name in named})

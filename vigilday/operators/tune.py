@@ -20,7 +20,7 @@ from vigilday.functions.storage import stored
 from vigilday.functions.windows import trailing, unit_hash
 from vigilday.operators.fusion import fuse
 from vigilday.operators.threshold import EPS
-from vigilday.operators.tiers import guard_group, shrink, weights
+from vigilday.operators.tiers import flag_size, shrink, users_seen, weights
 
 SUMS = ("n", "a", "b", "aa", "bb", "ab")
 
@@ -84,8 +84,8 @@ def _products() -> dict[str, Column]:
     return {"n": F.lit(1.0), "a": a, "b": b, "aa": a * a, "bb": b * b, "ab": a * b}
 
 
-def _with_past_sums(ud: DataFrame, group_key: str, windows: Sequence[int], **bounds) -> DataFrame:
-    """Trailing sums of both streams and their products, per tier and window length.
+def _with_past_sums(ud: DataFrame, group_key: str, windows: Sequence[int], min_group_size: int, **bounds) -> DataFrame:
+    """Trailing sums of both streams and their products, per tier and window length, and the group guard.
 
     They determine mean and variance of every fused score, so the windows are
     computed once and not once per trial.
@@ -102,9 +102,10 @@ def _with_past_sums(ud: DataFrame, group_key: str, windows: Sequence[int], **bou
         sums = df.groupBy(*keys, "day").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in SUMS])
         return past(sums, keys, tier).drop(*[f"_{k}" for k in SUMS])
 
-    out = lookup_join(
-        ud, daily(ud.filter(F.col(group_key).isNotNull()), [group_key], "g"), [group_key, "day"], **bounds
-    )
+    # sums and size of a group are one table, looked up once
+    known = ud.filter(F.col(group_key).isNotNull())
+    of_group = daily(known, [group_key], "g").join(users_seen(known, [group_key]), [group_key, "day"])
+    out = flag_size(lookup_join(ud, of_group, [group_key, "day"], **bounds), min_group_size)
     out = out.join(F.broadcast(daily(ud, [], "a")), "day", "left")  # one row per calendar day
     return past(out, ["user_id"], "p").drop(*[f"_{k}" for k in SUMS])
 
@@ -165,8 +166,7 @@ def sweep(
     """
     windows = sorted({t.days for t in trials})
     ud = stored(ud)
-    guarded = guard_group(ud, [group_key], min_group_size, **bounds)
-    summed = stored(_with_past_sums(guarded, group_key, windows, **bounds).filter("split = 'val'"))
+    summed = stored(_with_past_sums(ud, group_key, windows, min_group_size, **bounds).filter("split = 'val'"))
     scored = reduce(
         DataFrame.unionByName,
         [_trial_scores(summed, [t for t in trials if t.days == d], d, floor) for d in windows],
@@ -195,8 +195,7 @@ def search(
     windows = sorted({t.days for t in trials})
     grid = sorted({t.p for t in trials})
     ud = stored(ud)
-    guarded = guard_group(ud, [group_key], min_group_size, **bounds)
-    summed = stored(_with_past_sums(guarded, group_key, windows, **bounds).filter("split in ('train', 'val')"))
+    summed = stored(_with_past_sums(ud, group_key, windows, min_group_size, **bounds).filter("split in ('train', 'val')"))
     scored = stored(reduce(
         DataFrame.unionByName,
         [_trial_scores(summed, [t for t in trials if t.days == d], d, floor, ["split"]) for d in windows],

@@ -200,14 +200,12 @@ _SQUARES = " + ".join(f"({q.shrink(c)}) * ({q.shrink(c)})" for c in st.COUNTS)
 def tier_placement(spark, sf):
     counts = st.count_table(spark, sf).drop("split")
     ud = stored(st.streams(spark, sf).join(counts, KEYS))
-    out = None
-    for placement in ("fused", "streams", "features"):
-        placed = tiers.place(
-            ud, placement, features=st.COUNTS, alpha=st.ALPHA, group_key=st.GROUP, days=st.W,
-            min_group_size=st.MIN_GROUP, k_p=st.K_P, k_g=st.K_G, floor=st.SD_FLOOR,
-        ).select(F.lit(placement).alias("placement"), *KEYS, F.round("z", 6).alias("z"))
-        out = placed if out is None else out.unionByName(placed)
-    return out
+    placed = tiers.place(
+        ud, tiers.PLACEMENTS, features=st.COUNTS, alpha=st.ALPHA, group_key=st.GROUP, days=st.W,
+        min_group_size=st.MIN_GROUP, k_p=st.K_P, k_g=st.K_G, floor=st.SD_FLOOR,
+    )
+    rows = ", ".join(f"'{name}', round(z_{name}, 6)" for name in tiers.PLACEMENTS)
+    return placed.select(*KEYS, F.expr(f"stack({len(tiers.PLACEMENTS)}, {rows}) as (placement, z)"))
 
 
 # ---- thresholds and alerts -----------------------------------------------------------
