@@ -430,13 +430,16 @@ def near_duplicates(
             x = _units(vec.matrix(batch.column("vector"), dim, dtype)).astype("<f2")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([v.tobytes() for v in x], pa.binary())], names=[*batch.schema.names, "unit"])
 
-    classes = able.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
+    classes = stored(able.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
+    # a node is named by its smallest id, or by a number where rows of one id have different vectors or labels
+    found = classes.agg(F.count("*"), F.count_distinct("least")).first()
+    classes = classes.withColumn("node", F.col("least").cast("long") if found[0] == found[1] else F.monotonically_increasing_id())
     kind = able.schema
-    nodes = stored(classes.select("label", "vector", "node", "copies").mapInArrow(
-        unit, f"label {kind['label'].dataType.simpleString()}, vector {kind['vector'].dataType.simpleString()}, node long, copies long, unit binary"
+    nodes = stored(classes.select("label", "vector", "node", "least", "copies").mapInArrow(
+        unit, f"label {kind['label'].dataType.simpleString()}, vector {kind['vector'].dataType.simpleString()}, node long, least {kind['id'].dataType.simpleString()}, copies long, unit binary"
     ))
     count, labels = nodes.agg(F.count("*"), F.count_distinct("label")).first()
-    if not count:
+    if not count:  # no vector takes part
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     lists = descend(nodes, start(nodes, dim, labels, count, SEED, size), count, size, ROUNDS)
     for attempt in range(1, ATTEMPTS + 1):
@@ -449,10 +452,18 @@ def near_duplicates(
         size *= 2
         more = start(nodes, dim, labels, count, SEED + attempt, size)
         lists = descend(nodes, lists.select("a", "bs", "sims", F.lit(True).alias("old")).unionByName(more), count, size, ROUNDS)
-    placed = nodes.join(counts, "node", "left").join(groups, nodes.node == groups.id, "left").select(
+    grouped = nodes.join(groups, nodes.node == groups.id, "left").select(
+        "node", "label", "vector", "least", "copies", F.coalesce("component", "node").alias("component")
+    )
+    if found[0] != found[1]:
+        named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+        grouped = grouped.join(named, "component")
+    else:
+        grouped = grouped.withColumn("component_id", F.col("component"))
+    placed = grouped.join(counts, "node", "left").select(
         "label", "vector",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "node").alias("component_id"),
+        F.col("component_id").cast(kind["id"].dataType).alias("component_id"),
     )
     joined = rows.alias("r").join(placed.alias("p"), F.col("r.id").isNotNull() & (F.col("r.label") == F.col("p.label")) & (F.col("r.vector") == F.col("p.vector")), "left")
     own = F.coalesce("p.component_id", "r.id")
