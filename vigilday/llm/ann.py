@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product: multiprobe p-stable hashing.
 
 Vectors are scaled to the largest norm and get one component more, which makes all of them equally long; the
-largest inner product is then the smallest distance. A table's bucket is given by Gaussian projections,
-cut into cells of a fixed width. A query visits, in each table, its own and the perturbed buckets in
+largest inner product is then the smallest distance. A table's bucket is given by Gaussian projections, each moved by a
+random offset and cut into cells of one width, which is chosen from the distances of near neighbours in a sample. A query visits, in each table, its own and the perturbed buckets in
 the order of the estimated chance that a near vector lies there, until the chances add up to a target.
 Buckets are compared in blocks, and the candidates of all tables are ranked by their exact inner product.
 """
@@ -10,7 +10,7 @@ Buckets are compared in blocks, and the candidates of all tables are ranked by t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log2, sqrt
+from math import ceil, e, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +23,16 @@ from vigilday.llm.common import table
 from vigilday.llm.registry import query
 
 TABLES = 2
-WIDTH = 4.0
+# width of a cell in distances of near neighbours, and its bounds (a projection has a standard deviation of 1)
+WIDTH, LEAST_WIDTH, MOST_WIDTH = 2.0, 0.75, 1.5
+SPLIT = 3
 SEED = 6
 # buckets a query visits in a table at most, if their chances don't add up to the target before
 PROBES = 4096
 # chances of the buckets visited in each table; the next one is tried where recall falls short, and after the last all vectors are compared
 TARGETS = (0.82, 0.93)
-# keys over which the vectors are dealt for that; each gets a copy of the queries
-SHARES = 16
+# vectors of a key over which all are dealt for that; each key gets a copy of the queries
+SHARE = 50_000
 RECALL = 0.93
 AUDIT = 64
 FLUSH = 50_000
@@ -39,11 +41,15 @@ FLUSH = 50_000
 class Tables:
     """Projections of all tables, and the buckets of vectors and of queries."""
 
-    def __init__(self, dim: int, n: int, norm: float):
+    def __init__(self, dim: int, n: int, norm: float, near: float):
         self.dim, self.norm = dim, norm
-        self.hashes = min(16, max(1, ceil(log2(max(2, n)) / 2)))
+        self.width = min(MOST_WIDTH, max(LEAST_WIDTH, WIDTH * sqrt(2 * (1 - near))))
+        # about this many bits tell the cells of one projection apart; a table has about n ** (1 / SPLIT) buckets
+        bits = log2(sqrt(2 * pi * e) / self.width)
+        self.hashes = min(16, max(1, ceil(log2(max(2, n)) / SPLIT / bits)))
         rng = np.random.default_rng(SEED)
         self.lines = [rng.standard_normal((dim + 1, self.hashes)) for _ in range(TABLES)]
+        self.offsets = [rng.uniform(0, self.width, self.hashes) for _ in range(TABLES)]
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         """Vectors as points of the unit sphere, in one dimension more."""
@@ -56,7 +62,7 @@ class Tables:
         return (digits << 3 * np.arange(self.hashes)).sum(-1) << 2 | t
 
     def buckets(self, t: int, x: np.ndarray) -> np.ndarray:
-        return self.key(t, np.floor(self.lifted(x) @ self.lines[t] / WIDTH))
+        return self.key(t, np.floor((self.lifted(x) @ self.lines[t] + self.offsets[t]) / self.width))
 
     def probes(self, t: int, q: np.ndarray, near: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray]:
         """(row of the query, bucket) of the likeliest buckets of each query.
@@ -68,7 +74,8 @@ class Tables:
         unit = q / np.sqrt((q * q).sum(1, keepdims=True))
         center = near[:, None] * (np.hstack([unit, np.zeros((len(q), 1))]) @ self.lines[t])
         spread = np.sqrt(np.maximum(1e-9, 1 - near * near))
-        edges = _normal((np.arange(-3, 4) * WIDTH - center[:, :, None]) / spread[:, None, None])
+        edges = np.arange(-3, 4) * self.width - self.offsets[t][None, :, None] - center[:, :, None]
+        edges = _normal(edges / spread[:, None, None])
         cell = np.diff(edges, axis=2, prepend=0.0, append=1.0)  # cells -4 .. 3
         chance, digits = np.ones((len(q), 1)), np.zeros((len(q), 1), np.int64)
         for j in range(self.hashes):
@@ -196,15 +203,19 @@ def nearest(
     dim, dtype = vec.usual_length(rows, "vector"), vec.dtype_of(rows, "vector")
     rows = rows.filter(F.size("vector") == dim)
     rows = rows.distinct()
-    named = stored(rows.join(rows.groupBy("vector").agg(F.min("id").alias("class")), "vector"))
-    classes = named.filter("id = class").select("class", "vector")
+    classes = stored(rows.groupBy("vector").agg(F.min("id").alias("class")))
+    # a class is named by its smallest id, or by a number where rows of one id have different vectors
+    found = classes.agg(F.count("*"), F.count_distinct("class")).first()
+    if found[0] != found[1]:
+        classes = stored(classes.withColumn("class", F.monotonically_increasing_id()))
+    named = stored(rows.join(classes, "vector"))
+    classes = classes.select("class", "vector")
     queries = named.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "class")
     asked = classes.join(queries.select("class").distinct(), "class", "left_semi")
     size = classes.agg(F.count("*").alias("n"), F.max(F.sqrt(vec.product(F.col("vector"), F.col("vector")))).alias("norm")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not size["n"]:
         return spark.createDataFrame([], schema)
-    tables = Tables(dim, size["n"], size["norm"])
     wide = k + 1  # the query's own class is among them
 
     # a few queries by brute force: how near a k-th neighbour is, and what to measure recall against
@@ -220,6 +231,8 @@ def nearest(
     near = float(np.clip(np.quantile(list(worst.values()), 0.25), 0.0, 0.999))
     far = float(np.clip(min(worst.values()), 0.0, 0.999))
 
+    tables = Tables(dim, size["n"], size["norm"], near)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, ids = vec.matrix(batch.column("vector"), dim, dtype), batch.column("class").to_numpy()
@@ -260,11 +273,13 @@ def nearest(
             "class", "vector", F.coalesce(own, F.lit(far)).alias("near")
         )
     else:
+        shares = max(16, -(-size["n"] // SHARE))
+
         def shared(batches: Iterator[pa.RecordBatch], copies: bool) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x, ids = vec.matrix(batch.column("vector"), dim, dtype), batch.column("class").to_numpy()
-                for share in range(SHARES) if copies else [None]:
-                    mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % SHARES
+                for share in range(shares) if copies else [None]:
+                    mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % shares
                     yield _pack(mixed if share is None else np.full(len(ids), share), ids, x)
 
         everything = vec.blocks(stored(classes.mapInArrow(lambda b: shared(b, False), PACKED)), ["bucket"])
@@ -279,18 +294,20 @@ def nearest(
     )
     first = Window.partitionBy("class").orderBy("id")
     members = named.select("class", "id").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= wide)
-    ahead = Window.partitionBy("query").orderBy(F.desc("score"), "class").rowsBetween(Window.unboundedPreceding, -1)
+    # how many rows of nearer classes there are: classes of one score count alike, whatever their ids
+    upto, alike = Window.partitionBy("query").orderBy(F.desc("score")), Window.partitionBy("query", "score")
     useful = (
         scored.join(members.groupBy("class").agg(F.count("*").alias("n")), "class")
-        .withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        .withColumn("before", F.sum("n").over(upto) - F.sum("n").over(alike))
         .filter(F.col("before") <= k)
         .join(members, "class")
-        .select("query", "id", "score")
+        .select("query", F.col("class").alias("of"), "id", "score")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    # rows of one id and different vectors are queries of their own, and candidates of each other
+    order = Window.partitionBy("query_id", "class").orderBy(F.desc("score"), "id")
     return (
         queries.join(useful, F.col("class") == F.col("query"))
-        .filter("id != query_id")
+        .filter((F.col("id") != F.col("query_id")) | (F.col("of") != F.col("class")))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", F.col("id").alias("vec_id"), "score")
