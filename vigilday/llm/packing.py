@@ -30,10 +30,10 @@ MODEL = "word_bpe_49k.json"
 SEQ_LEN = 2048
 END = b"\0\0\0\0"
 # words whose ids a worker keeps (in two generations), and the longest that is kept
-KEPT = 400_000
+KEPT = 120_000
 KEPT_CHARS = 64
 # bytes of texts whose words are looked up together
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 # The tokenizer's own split into words, and the same for lower-cased texts whose
 # characters are all plain: ASCII or accented Latin letters, neither composed nor special. What is no letter is put between blanks.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -197,6 +197,8 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 part = whole[4 * start : 4 * (start + seq_len)]
                 out.append((piece, start, len(part) // 4, zlib.crc32(part)))
             offsets.append(len(out))
+        # what the split texts took goes back to the system: the worker lives on beside others
+        pa.default_memory_pool().release_unused()
         columns = [pa.array(column, pa.int64()) for column in np.array(out, np.int64).reshape(-1, 4).T]
         items = pa.StructArray.from_arrays(columns, PIECES.elementType.names)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
