@@ -25,7 +25,7 @@ from vigilday.llm.registry import query
 TABLES = 2
 # width of a cell in distances of near neighbours, and its bounds (a projection has a standard deviation of 1)
 WIDTH, LEAST_WIDTH, MOST_WIDTH = 2.0, 0.75, 1.5
-SPLIT = 3
+SPLIT = 2
 SEED = 6
 # buckets a query visits in a table at most, if their chances don't add up to the target before
 PROBES = 4096
