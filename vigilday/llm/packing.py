@@ -33,7 +33,7 @@ END = b"\0\0\0\0"
 KEPT = 120_000
 KEPT_CHARS = 64
 # bytes of texts whose words are looked up together
-GROUP_BYTES = 1 << 19
+GROUP_BYTES = 1 << 22
 # The tokenizer's own split into words, and the same for lower-cased texts whose
 # characters are all plain: ASCII or accented Latin letters, neither composed nor special. What is no letter is put between blanks.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -42,29 +42,36 @@ PLAIN_APART = r"('(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t\n\ra-zß-öø-ÿ0-9]+)"
 
 
 class Words:
-    """Ids of words (little-endian unsigned 32-bit), kept in two generations: since the last ``KEPT`` new ones."""
+    """Ids of words (little-endian unsigned 32-bit).
+
+    Kept are those that occur more than once among the words looked up together, in two generations: since the last
+    ``KEPT`` new ones. A word seen once is encoded again if it comes back, which the same ids follow from.
+    """
 
     def __init__(self, encode):
         self.encode = encode
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def lookup(self, words: list[str]) -> list[bytes]:
-        """The ids of different words. Those that are new are encoded together."""
-        known, older = self.known, self.older
-        found = list(map(known.get, words))
-        if None in found:
-            spots = [i for i, ids in enumerate(found) if ids is None]
+    def lookup(self, words: list[str], counts: list[int]) -> list[bytes]:
+        """The ids of different words, which occur ``counts`` times. Those that are new are encoded together."""
+        found = list(map(self.known.get, words))
+        spots = [i for i, ids in enumerate(found) if ids is None]
+        if not spots:
+            return found
+        missing = [words[i] for i in spots]
+        if self.older:
+            for i, ids in zip(spots, map(self.older.get, missing)):
+                if ids is not None:
+                    found[i] = self.known[words[i]] = ids
+            spots = [i for i in spots if found[i] is None]
             missing = [words[i] for i in spots]
-            here = dict(zip(missing, map(older.get, missing)))
-            new = [w for w, ids in here.items() if ids is None]
-            if new:
-                here.update(zip(new, self.encode(new)))
-            for i, ids in zip(spots, here.values()):
-                found[i] = ids
-            known.update((w, ids) for w, ids in here.items() if len(w) <= KEPT_CHARS)
-            if len(known) > KEPT:
-                self.older, self.known = known, {}
+        for i, word, ids in zip(spots, missing, self.encode(missing) if missing else ()):
+            found[i] = ids
+            if counts[i] > 1 and len(word) <= KEPT_CHARS:
+                self.known[word] = ids
+        if len(self.known) > KEPT:
+            self.older, self.known = self.known, {}
         return found
 
 
@@ -156,14 +163,17 @@ def joined(texts: pa.ListArray, known: Words) -> list[np.ndarray]:
     White space at the ends of a text makes words without a character, which have no ids.
     """
     flat = texts.flatten().dictionary_encode()
-    different = flat.dictionary.to_pylist()
-    named = [w for w in different if w]
-    found = known.lookup(named)
-    if len(named) < len(different):
-        found.insert(different.index(""), b"")
+    which = flat.indices.to_numpy()
+    different = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+    times = np.bincount(which, minlength=len(different)).tolist()
+    blank = different.index("") if "" in different else None
+    if blank is not None:
+        del different[blank], times[blank]
+    found = known.lookup(different, times)
+    if blank is not None:
+        found.insert(blank, b"")
     tokens = np.frombuffer(b"".join(found), "<u4")
     sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    which = flat.indices.to_numpy()
     counts = sizes[which]
     ends = np.cumsum(counts)
     # where each id of each word stands among the ids of the different words
