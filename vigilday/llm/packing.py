@@ -9,6 +9,7 @@ planner sees no more than ``seq_len`` numbers and no task sees a whole group.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import zlib
 from collections.abc import Iterator
@@ -32,8 +33,9 @@ END = b"\0\0\0\0"
 # words whose ids a worker keeps (in two generations), and the longest that is kept
 KEPT = 120_000
 KEPT_CHARS = 64
-# bytes of texts whose words are looked up together
-GROUP_BYTES = 1 << 22
+# bytes of texts whose words are looked up together, and new words encoded as one text
+GROUP_BYTES = 1 << 21
+TOGETHER = 4_096
 # The tokenizer's own split into words, and the same for lower-cased texts whose
 # characters are all plain: ASCII or accented Latin letters, neither composed nor special. What is no letter is put between blanks.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -127,7 +129,10 @@ class Encoder:
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
     def together(self, words: list[str]) -> list[bytes]:
-        """Encode plain words as one text and cut the ids behind each token that ends a word."""
+        """Encode plain words as texts of ``TOGETHER`` words and cut the ids behind each token that ends a word."""
+        if len(words) > TOGETHER:
+            parts = (self.together(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER))
+            return [ids for part in parts for ids in part]
         ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(ends) != len(words):
@@ -189,6 +194,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker lives on beside others, idle or not."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 PIECES = ArrayType(StructType([StructField(n, LongType()) for n in ("piece", "start", "length", "ids_crc32")]))
 
 
@@ -207,8 +220,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 part = whole[4 * start : 4 * (start + seq_len)]
                 out.append((piece, start, len(part) // 4, zlib.crc32(part)))
             offsets.append(len(out))
-        # what the split texts took goes back to the system: the worker lives on beside others
-        pa.default_memory_pool().release_unused()
+        give_back()
         columns = [pa.array(column, pa.int64()) for column in np.array(out, np.int64).reshape(-1, 4).T]
         items = pa.StructArray.from_arrays(columns, PIECES.elementType.names)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
