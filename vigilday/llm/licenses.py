@@ -9,11 +9,13 @@ it holds enough of the n-grams of a template of its family, and those that tell
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from vigilday.functions.storage import stored
@@ -69,11 +71,11 @@ BARRED = {
 }
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *sorted({family for family, _ in TEMPLATES}))
-# documents whose paragraphs the model is fitted and calibrated on, and paragraphs more that hold a licence word
-SAMPLE_DOCS, SAMPLE_HARD = 300, 2000
-# share of a template's n-grams that make a sampled paragraph an example of its family, and below which it is an example of none
+# different examples in a partition, at most about
+TOGETHER = 100_000
+# share of a template's n-grams that make a paragraph an example of its family, and below which it is an example of none
 EXAMPLE, NO_EXAMPLE = 0.8, 0.5
-# share of a sampled paragraph's own n-grams that lie in one template, from which it may be a piece of a wrapped notice
+# share of a paragraph's own n-grams that lie in one template, from which it may be a piece of a wrapped notice
 PIECE = 0.5
 # share of the calibration paragraphs without a licence that may be named one
 FALSE_RATE = 0.001
@@ -236,67 +238,106 @@ def joined(rows: DataFrame, scanner: Scanner) -> DataFrame:
     return ends.filter("last > place")
 
 
-def fit(docs: DataFrame) -> Scanner:
-    """Fit and calibrate on the templates and on sampled paragraphs of ``docs`` (columns ``id`` and ``text``).
+def whole_words(words: Iterable[str]) -> str:
+    """A pattern that a lower-cased text must match to hold one of the words, which are of letters, as :data:`WORDS` finds them.
 
-    The sample is bounded: the lines of ``SAMPLE_DOCS`` documents, and ``SAMPLE_HARD`` lines with a word of the templates that ends in
-    licence or license; both are the first by a hash. A line that holds most n-grams of a template, and those
-    that decide, is an example of its family; one that holds fewer than half of any, or most but not those that decide, is an example of
-    none, the others, and pieces of a template such as the lines of a wrapped notice, are left out. Each template is an
-    example too, alone and followed by sampled lines. Three in ten sampled lines calibrate the cut and are not fitted on.
+    Words are sorted by their first letter and tried where a word can begin only.
     """
-    spark = docs.sparkSession
-    known = stored(templates(spark))
-    by_hash = F.xxhash64(F.lit(SEED), "id")
-    ids = docs.select("id").filter("id is not null").orderBy(by_hash, "id").limit(SAMPLE_DOCS)
-    some = paragraphs(docs.join(F.broadcast(ids.distinct()), "id")).select("line")
-    about = docs.filter(F.lower("text").rlike("licen[sc]"))
-    hard = (
-        paragraphs(about).filter(F.lower("line").rlike("licen[sc]")).orderBy(F.xxhash64(F.lit(SEED), "id", "place"), "line")
-        .limit(SAMPLE_HARD).select("line")
-    )
-    lines = some.union(hard).filter(F.trim("line") != "").distinct().withColumn("grams", grams(F.col("line")))
-    compared = lines.withColumn(
-        "t", F.explode(F.array(*[
-            F.struct(
-                F.lit(r["family"]).alias("family"),
-                likeness(F.array(*[F.lit(m) for m in r["marks"]]), F.col("grams")).alias("like"),
-                decided(r["family"], r["marks"], F.col("grams")).alias("decided"),
-                (F.size(F.array_intersect(F.array(*[F.lit(m) for m in r["marks"]]), F.col("grams"))) / F.greatest(F.size("grams"), F.lit(1))).alias("inside"),
-            )
-            for r in known.collect()  # the templates, fixed values
-        ]))
-    )
-    best = compared.groupBy("line", "grams").agg(
-        F.max(F.when(F.col("t.decided"), F.struct("t.like", "t.family"))).alias("best"), F.max("t.like").alias("like"), F.max("t.inside").alias("inside")
-    )
+    begins: dict[str, list[str]] = {}
+    for word in sorted(words):
+        begins.setdefault(word[0], []).append(word[1:])
+    tails = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in begins.items())
+    return f"(?<![a-z])(?:{tails})(?![a-z0-9])" if begins else "(?!)"
+
+
+def example(line: str, known: list[Row], found: set[str]) -> tuple[str | None, list[str]]:
+    """The family a lower-cased line is an example of (None: of nothing), and its n-grams among ``found``."""
+    words = re.findall(WORDS, line)
+    own = {*words, *map(" ".join, zip(words, words[1:]))}
+    shared = [len(own.intersection(r["marks"])) for r in known]
+    like = [n / len(r["marks"]) for n, r in zip(shared, known)]
+    sure = [
+        (x, r["family"]) for x, r in zip(like, known)
+        if x >= EXAMPLE and own.issuperset({*DECIDING[r["family"]]}.intersection(r["marks"])) and own.isdisjoint(BARRED.get(r["family"], ()))
+    ]
+    seen = sorted(own & found)
     # near misses, like a template but of another family, are examples of none
-    label = F.when(F.col("best.like") >= EXAMPLE, F.col("best.family")).when(
-        ((F.col("like") < NO_EXAMPLE) & (F.col("inside") < PIECE)) | (F.col("like") >= EXAMPLE), UNKNOWN
+    none = not seen or max(like) >= EXAMPLE or (max(like) < NO_EXAMPLE and max(shared) / len(own) < PIECE)
+    return max(sure)[1] if sure else UNKNOWN if none else None, seen
+
+
+def examples(docs: DataFrame) -> DataFrame:
+    """Every different line of ``text`` that is not blank, by what the model can see of it: rows (``held``, ``family``, ``known``, ``n``).
+
+    ``n`` lines hold the n-grams ``known`` of the model's vocabulary and no others of it. A line that holds most n-grams of a template, and
+    those that decide, is an example of its family; one that holds fewer than half of any, or most but not those that decide, is an example
+    of none, the others, and pieces of a template such as the lines of a wrapped notice, are left out. A line without any n-gram of the
+    vocabulary is an example of none. Three in ten lines are held from fitting. Lines are told apart by a hash, so none is shuffled.
+    """
+    known = templates(docs.sparkSession).collect()  # the templates, fixed values
+    found = set(vocabulary(known))
+    lowered = F.lower("line")
+    lines = paragraphs(docs.select("text")).filter(F.trim("line") != "").select(
+        F.xxhash64("line").alias("hash"),
+        (F.pmod(F.xxhash64(F.lit(SEED), F.lit("held"), "line"), F.lit(10)) < 3).alias("held"),
+        F.when(lowered.rlike(whole_words({telling(m) for m in found})), lowered).alias("line"),
     )
-    sample = stored(best.select("line", "grams", label.alias("family")).filter("family is not null"))
-    held = F.pmod(F.xxhash64(F.lit(SEED), F.lit("held"), "line"), F.lit(10)) < 3
-    numbered = sample.filter(f"family = '{UNKNOWN}'").filter(~held).orderBy(F.xxhash64("line"), "line").limit(20).select("line")
-    alone = known.select("family", F.col("template").alias("line"))
-    longer = alone.join(F.broadcast(numbered.withColumnRenamed("line", "more")), F.lit(True)).select(
-        "family", F.concat_ws(" ", "line", "more").alias("line")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(UNKNOWN, []) if line is None else example(line, known, found) for line in batch.column("line").to_pylist()]
+            families, seen = pa.array([f for f, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("held"), families, seen], names=["hash", "held", "family", "known"])
+
+    described = lines.mapInArrow(describe, "hash long, held boolean, family string, known array<string>")
+    different = described.filter("family is not null").distinct()
+    return different.groupBy("held", "family", "known").agg(F.count("*").alias("n"))
+
+
+def vocabulary(known: list[Row]) -> list[str]:
+    """The n-grams the model knows: those of the templates with a word that tells something."""
+    return sorted({m for r in known for m in r["marks"] if telling(m)})
+
+
+def fit(docs: DataFrame) -> Scanner:
+    """Fit and calibrate on the templates and on all lines of ``docs`` (column ``text``).
+
+    Every line takes part, as :func:`examples` counts them. Each template is an example too, followed by every line of none.
+    Four kinds of examples are weighed, so that the many lines of none do not drown the few of a licence: lines of none with n-grams the model
+    knows, those without, templates followed by lines, lines of a licence. Each kind weighs the same for each family, and those of none
+    as much as all families. Three in ten lines calibrate the cut and are not fitted on: a line counts once there.
+    """
+    spark = docs.sparkSession
+    known = templates(spark)
+    seen = stored(examples(docs))
+    own = seen.filter(~F.col("held")).select(
+        "family", F.when(F.col("family") != UNKNOWN, 0).when(F.size("known") > 0, 1).otherwise(2).alias("kind"), F.col("known").alias("grams"), "n"
     )
-    examples = alone.union(longer).withColumn("grams", grams(F.col("line"))).select("grams", "family").union(
-        sample.filter(~held).select("grams", "family")
+    found = vocabulary(known.collect())  # the templates, fixed values
+    none = own.filter(f"family = '{UNKNOWN}'").select("grams", "n").union(spark.createDataFrame([([], 1)], "grams array<string>, n long"))
+    longer = none.join(F.broadcast(known.select("family", "marks")), F.lit(True)).select(
+        "family", F.lit(3).alias("kind"),
+        F.array_sort(F.array_union("grams", F.array_intersect("marks", F.array(*[F.lit(m) for m in found])))).alias("grams"), "n",
     )
+    counted = stored(own.union(longer).groupBy("family", "kind", "grams").agg(F.sum("n").alias("n")))
+    totals = counted.groupBy("family", "kind").agg(F.sum("n").alias("total"))  # a row per family and kind
     number = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1
-    # the n-grams the model knows are those of the templates with a word that tells something
-    vocabulary = sorted({m for r in known.select("marks").collect() for m in r["marks"] if telling(m)})
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
-    vectors.setBinary(True)
-    training = vectors.transform(examples.withColumn("label", number.cast("double"))).select("features", "label")
-    # every family must be seen, so that the classes are numbered as the families are
-    model = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=1.0, standardization=False, maxIter=100).fit(
-        training.repartition(1).cache()
+    weight = F.col("n") / F.col("total") * F.when(F.col("family") == UNKNOWN, len(FAMILIES) - 1).otherwise(1)
+    weighed = counted.join(F.broadcast(totals), ["family", "kind"]).select(
+        "grams", number.cast("double").alias("label"), weight.alias("weight"), F.xxhash64("family", "kind", "grams").alias("place")
     )
+    vectors = CountVectorizerModel.from_vocabulary(found, inputCol="grams", outputCol="features")
+    vectors.setBinary(True)
+    parts = -(-counted.count() // TOGETHER)
+    training = vectors.transform(weighed).repartition(parts, "place").sortWithinPartitions("place", "label").select("features", "label", "weight").cache()
+    # every family is seen, by its templates, so the classes are numbered as the families are
+    model = LogisticRegression(
+        family="multinomial", regParam=PENALTY, elasticNetParam=1.0, standardization=False, maxIter=100, weightCol="weight"
+    ).fit(training)
+    training.unpersist()
     scanner = Scanner(vectors, model, 0.5)
-    none = scanner.named(sample.filter(held & (F.col("family") == UNKNOWN)).select("grams"))
-    high = none.agg(F.percentile("chance", 1 - FALSE_RATE)).first()[0]
+    calibration = scanner.named(seen.filter(F.col("held") & (F.col("family") == UNKNOWN)).select(F.col("known").alias("grams"), "n"))
+    high = calibration.agg(F.percentile("chance", 1 - FALSE_RATE, F.col("n"))).first()[0]
     return Scanner(vectors, model, min(0.99, max(0.5, high or 0.0)))
 
 
@@ -307,7 +348,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scanner = fit(rows.select("id", "text"))
+    scanner = fit(rows.select("text"))
     needed = "|".join(re.escape(a) for a in scanner.anchors) or "(?!)"
     able = paragraphs(rows.filter(F.lower("text").rlike(needed))).filter(F.lower("line").rlike(needed))
     named = scanner.named(able.withColumn("grams", grams(F.col("line")))).filter(F.col("family") != UNKNOWN)
