@@ -36,6 +36,8 @@ SHARE = 50_000
 RECALL = 0.93
 AUDIT = 64
 FLUSH = 50_000
+# queries whose buckets are sought and packed together: a copy of the vector goes to each of up to PROBES buckets
+PROBED = 64
 
 
 class Tables:
@@ -101,21 +103,22 @@ def _normal(x: np.ndarray) -> np.ndarray:
 PACKED = "bucket long, n long, ids binary, vecs binary"
 
 
-def _pack(bucket: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket with the ids and vectors that fall into it."""
+def _pack(bucket: np.ndarray, ids: np.ndarray, x: np.ndarray, row: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per bucket with the ids and vectors that fall into it: of ``row`` if given, else one after the other.
+
+    The vectors are copied once, in the order of the buckets, and are the column's memory as they are.
+    """
     order = np.argsort(bucket, kind="stable")
-    bucket, ids, x = bucket[order], ids[order], x[order]
+    bucket, row = bucket[order], order if row is None else row[order]
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.array([], int)
-    ends = np.r_[starts[1:], len(bucket)]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(bucket[starts]),
-            pa.array(ends - starts),
-            pa.array([ids[s:e].astype("<i8").tobytes() for s, e in zip(starts, ends)], pa.binary()),
-            pa.array([x[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary()),
-        ],
-        names=["bucket", "n", "ids", "vecs"],
-    )
+    edges = np.r_[starts, len(bucket)]
+
+    def column(values: np.ndarray) -> pa.Array:
+        offsets = (edges * (values.nbytes // max(1, len(row)))).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+    columns = [pa.array(bucket[starts]), pa.array(np.diff(edges)), column(ids[row].astype("<i8")), column(x[row])]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "n", "ids", "vecs"])
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,12 +256,12 @@ def nearest(
     for target in TARGETS:
         def probe(batches: Iterator[pa.RecordBatch], target: float = target) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, batch.num_rows, PROBED):
+                    part = batch.slice(at, PROBED)
                     x, ids = vec.matrix(part.column("vector"), dim, dtype), part.column("class").to_numpy()
                     for t in range(TABLES):
                         row, bucket = tables.probes(t, x.astype(np.float64), part.column("near").to_numpy(), target)
-                        yield _pack(bucket, ids[row], x[row])
+                        yield _pack(bucket, ids, x, row)
 
         visiting = vec.blocks(stored(nearness.mapInArrow(probe, PACKED)), ["bucket"], 1024)
         more = compared(held, visiting)
