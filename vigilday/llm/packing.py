@@ -35,7 +35,7 @@ KEPT = 120_000
 KEPT_CHARS = 64
 # bytes of texts whose words are looked up together, and new words encoded as one text
 GROUP_BYTES = 1 << 21
-TOGETHER = 4_096
+TOGETHER = 32_768
 # The tokenizer's own split into words, and the same for lower-cased texts whose
 # characters are all plain: ASCII or accented Latin letters, neither composed nor special. What is no letter is put between blanks.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
