@@ -14,6 +14,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,52 +31,77 @@ from vigilday.llm.registry import query
 MODEL = "word_bpe_49k.json"
 SEQ_LEN = 2048
 END = b"\0\0\0\0"
-# words whose ids a worker keeps (in two generations), and the longest that is kept
-KEPT = 120_000
+# words whose ids a worker keeps, their ids, and the longest word that is kept
+KEPT = 400_000
+KEPT_IDS = 4_000_000
 KEPT_CHARS = 64
 # bytes of texts whose words are looked up together, and new words encoded as one text
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 22
 TOGETHER = 32_768
 # The tokenizer's own split into words, and the same for lower-cased texts whose
 # characters are all plain: ASCII or accented Latin letters, neither composed nor special. What is no letter is put between blanks.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = r"\A[\t\n\r -~À-ÖØ-öø-ÿ]*\z"
-PLAIN_APART = r"('(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t\n\ra-zß-öø-ÿ0-9]+)"
+PLAIN_APART = r"'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t\n\ra-zß-öø-ÿ0-9]+"
+
+
+def gather(tokens: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ``tokens`` in turn, each from ``first`` on and of its size."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(first - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return tokens[at]
 
 
 class Words:
-    """Ids of words (little-endian unsigned 32-bit).
+    """Words and their ids, held as one array each: a run of ``ids`` per word.
 
-    Kept are those that occur more than once among the words looked up together, in two generations: since the last
-    ``KEPT`` new ones. A word seen once is encoded again if it comes back, which the same ids follow from.
+    Kept are the words met, until there are more than ``KEPT`` or they have more than ``KEPT_IDS`` ids. Then the half used
+    most goes on, and uses count half from there. A word that is gone is encoded again if it comes back, which the same ids follow from.
     """
 
     def __init__(self, encode):
         self.encode = encode
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def lookup(self, words: list[str], counts: list[int]) -> list[bytes]:
-        """The ids of different words, which occur ``counts`` times. Those that are new are encoded together."""
-        found = list(map(self.known.get, words))
-        spots = [i for i, ids in enumerate(found) if ids is None]
-        if not spots:
-            return found
-        missing = [words[i] for i in spots]
-        if self.older:
-            for i, ids in zip(spots, map(self.older.get, missing)):
-                if ids is not None:
-                    found[i] = self.known[words[i]] = ids
-            spots = [i for i in spots if found[i] is None]
-            missing = [words[i] for i in spots]
-        for i, word, ids in zip(spots, missing, self.encode(missing) if missing else ()):
-            found[i] = ids
-            if counts[i] > 1 and len(word) <= KEPT_CHARS:
-                self.known[word] = ids
-        if len(self.known) > KEPT:
-            self.older, self.known = self.known, {}
+        self.known = pa.array([], pa.string())
+        self.ids = np.empty(0, "<u4")
+        self.sizes = np.empty(0, np.int64)
+        self.uses = np.empty(0, np.int64)
+
+    def lookup(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each word begin and how many they are. The words differ and occur ``counts`` times; new ones are encoded together."""
+        spots = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+        old = spots >= 0
+        self.uses[spots[old]] += counts[old]
+        new = np.flatnonzero(~old)
+        if len(new):
+            missing = words.take(pa.array(new))
+            ids, sizes = self.encode(missing.to_pylist())
+            spots[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+            self.known = pa.concat_arrays([self.known, missing])
+            self.ids = np.concatenate([self.ids, ids])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.uses = np.concatenate([self.uses, counts[new]])
+        starts = np.cumsum(self.sizes) - self.sizes
+        found = self.ids, starts[spots], self.sizes[spots]
+        if len(new):
+            self.drop(starts)
         return found
 
+    def drop(self, starts: np.ndarray) -> None:
+        """Keep no long words, and the words used most if they are too many."""
+        keep = pc.less_equal(pc.utf8_length(self.known), KEPT_CHARS).to_numpy(zero_copy_only=False)
+        if keep.sum() > KEPT or self.sizes[keep].sum() > KEPT_IDS:
+            order = np.flatnonzero(keep)
+            order = order[np.argsort(-self.uses[order], kind="stable")][: KEPT // 2]
+            order = order[np.cumsum(self.sizes[order]) <= KEPT_IDS // 2]
+            keep[:] = False
+            keep[order] = True
+            self.uses //= 2
+        if keep.all():
+            return
+        self.ids = gather(self.ids, starts[keep], self.sizes[keep])
+        self.known, self.sizes, self.uses = self.known.filter(pa.array(keep)), self.sizes[keep], self.uses[keep]
+
 
 class Encoder:
     """Ids of texts for one byte-level tokenizer that drops white space and marks the ends of words.
@@ -83,7 +109,7 @@ class Encoder:
     No token and no normalisation reaches across ASCII white space, so a text's ids are those
     of its words in turn, and each word is encoded once while it is remembered. Plain texts without special strings are split
     further, as the tokenizer itself does, so that there are fewer different words. Many texts are split, and their different words
-    found, by Arrow, and only those are looked up one by one. The new words of plain texts are encoded together, by the same
+    found and looked up, by Arrow. The new words of plain texts are encoded together, by the same
     model without its normalisation and split, and told apart by the tokens that end a word.
     """
 
@@ -99,7 +125,7 @@ class Encoder:
         vocabulary = config["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-        self.words, self.parts = Words(self.each), Words(self.together)
+        self.words, self.parts = Words(self.alone), Words(self.run)
         self.splits = bool(suffix) and SPLIT in patterns
         if self.splits:
             byte_level = [p for p in steps["pretokenizers"] if p["type"] == "ByteLevel"]
@@ -117,6 +143,9 @@ class Encoder:
     def check(self) -> None:
         """Raise an error if the tokenizer is none of the kind."""
         probe = "ab'll  c1\tÉßà<|endoftext|>\n x"
+        words = ["ab", "'ll", "1", "éßà", "endoftext", "...", "x"]
+        if self.splits and self.together(words) != self.each(words):
+            raise ValueError(f"{self.path}: words encoded together differ from words alone")
         for text in (probe, probe.replace("<|", "")):
             if self.encode(text).tobytes() != self.ids(text):
                 raise ValueError(f"{self.path}: tokens reach across white space, or words do not end in tokens of their own")
@@ -124,21 +153,27 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in turn, each encoded as a text of its own, and how many each has."""
+        found = [f.ids for f in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
+
+    def run(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain words, encoded as texts of ``TOGETHER`` words and told apart behind each token that ends a word."""
+        runs = (" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER))
+        found = [np.array(self.bare.encode_batch_fast([r], add_special_tokens=False)[0].ids, "<u4") for r in runs]
+        ids = np.concatenate(found) if found else np.empty(0, "<u4")
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(sizes) != len(words) or sizes.sum() != len(ids):
+            raise ValueError("a word does not end in one token of its own")
+        return ids, sizes
+
     def each(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(f.ids, "<u4").tobytes() for f in found]
+        return cut(*self.alone(words))
 
     def together(self, words: list[str]) -> list[bytes]:
-        """Encode plain words as texts of ``TOGETHER`` words and cut the ids behind each token that ends a word."""
-        if len(words) > TOGETHER:
-            parts = (self.together(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER))
-            return [ids for part in parts for ids in part]
-        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(ends) != len(words):
-            raise ValueError("a word does not end in one token of its own")
-        whole = ids.tobytes()
-        return [whole[s:e] for s, e in zip([0, *ends], ends)]
+        return cut(*self.run(words))
 
     def ids(self, text: str) -> bytes:
         return next(self.many(pa.array([text], pa.string()))).tobytes()
@@ -153,39 +188,42 @@ class Encoder:
             yield from self._group(pc.fill_null(texts.slice(at, to - at), ""))
             at = to
 
-    def _group(self, texts: pa.Array) -> list[np.ndarray]:
+    def _group(self, texts: pa.Array) -> Iterator[np.ndarray]:
         plain = pc.match_substring_regex(texts, PLAIN)
         plain = pc.and_not(plain, pc.match_substring(texts, "<|")) if self.splits else pc.and_(plain, False)
-        apart = pc.replace_substring_regex(pc.utf8_lower(texts.filter(plain)), PLAIN_APART, r" \1 ")
-        parts = iter(joined(pc.ascii_split_whitespace(apart), self.parts))
-        words = iter(joined(pc.split_pattern_regex(texts.filter(pc.invert(plain)), "[ \t\n\r]+"), self.words))
-        return [next(parts if p else words) for p in plain.to_pylist()]
+        apart = pc.replace_substring_regex(pc.utf8_lower(texts.filter(plain)), PLAIN_APART, r" \0 ")
+        parts = joined(pc.ascii_split_whitespace(apart), self.parts)
+        words = joined(pc.split_pattern_regex(texts.filter(pc.invert(plain)), "[ \t\n\r]+"), self.words)
+        for p in plain.to_pylist():
+            yield next(parts if p else words)
 
 
-def joined(texts: pa.ListArray, known: Words) -> list[np.ndarray]:
+def joined(texts: pa.ListArray, known: Words) -> Iterator[np.ndarray]:
     """The ids of texts, each a list of words; every different word is looked up once.
 
     White space at the ends of a text makes words without a character, which have no ids.
     """
     flat = texts.flatten().dictionary_encode()
-    which = flat.indices.to_numpy()
-    different = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
-    times = np.bincount(which, minlength=len(different)).tolist()
-    blank = different.index("") if "" in different else None
-    if blank is not None:
-        del different[blank], times[blank]
-    found = known.lookup(different, times)
-    if blank is not None:
-        found.insert(blank, b"")
-    tokens = np.frombuffer(b"".join(found), "<u4")
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    counts = sizes[which]
-    ends = np.cumsum(counts)
-    # where each id of each word stands among the ids of the different words
-    first = (np.cumsum(sizes) - sizes)[which] - (ends - counts)
-    out = tokens[np.repeat(first, counts) + np.arange(ends[-1] if len(ends) else 0)]
-    edges = np.concatenate(([0], ends))[np.cumsum(pc.list_value_length(texts).to_numpy())]
-    return np.split(out, edges[:-1]) if len(texts) else []
+    which, different = flat.indices.to_numpy(), flat.dictionary
+    times = np.bincount(which, minlength=len(different))
+    blank = pc.index(different, "").as_py()
+    if blank >= 0:
+        others = np.arange(len(different)) != blank
+        different, times = different.filter(pa.array(others)), times[others]
+    tokens, first, sizes = known.lookup(different, times)
+    if blank >= 0:
+        first, sizes = np.insert(first, blank, 0), np.insert(sizes, blank, 0)
+    end = 0
+    for n in pc.list_value_length(texts).to_pylist():
+        own = which[end : end + n]
+        end += n
+        yield gather(tokens, first[own], sizes[own])
+
+
+def cut(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The ids of words one by one."""
+    whole, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+    return [whole[s:e] for s, e in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=4)
@@ -210,7 +248,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     encoder(path).check()
 
     @arrow_udf(PIECES)
-    def cut(texts: pa.Array) -> pa.Array:
+    def pieces_of(texts: pa.Array) -> pa.Array:
         own = encoder(path)
         out, offsets = [], [0]
         for ids in own.many(texts):
@@ -225,7 +263,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         items = pa.StructArray.from_arrays(columns, PIECES.elementType.names)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
 
-    return docs.select(F.col(id_col).alias("id"), cut(F.col(text_col)).alias("cut")).select(
+    return docs.select(F.col(id_col).alias("id"), pieces_of(F.col(text_col)).alias("cut")).select(
         F.col("id").alias(id_col), F.inline("cut")
     )
 
