@@ -36,3 +36,39 @@ def test_example_labels(spark):
     pattern = licenses.whole_words({"mit", "by", "license"})
     hits = spark.createDataFrame([("the license.",), ("licensed",), ("2.0license",), ("submit",), ("cc by-nc",), ("",)], "t string")
     assert [r[0] for r in hits.select(F.col("t").rlike(pattern)).collect()] == [True, False, True, False, True, False]
+
+
+def test_examples_follow_the_definition_by_columns(spark):
+    known = licenses.templates(spark).collect()
+    found = set(licenses.vocabulary(known))
+    lines = [t for _, t in licenses.TEMPLATES] + [t.replace("License", "Licence text") for _, t in licenses.TEMPLATES]
+    lines += [" ".join(t.split()[:n]) for _, t in licenses.TEMPLATES for n in (2, 4, 6, 9)] + ["a plain line", "...", "a1license", "2.0license", "by cc", "ÉTÉ GNU"]
+    lines += ["This work is licensed under the GNU Library General Public License, version 3.", "gnu lesser general public license, version 3 of affero"]
+    lines += [f"{t} and word {i} more" for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    lines = sorted(set(lines))
+    docs = spark.createDataFrame([("\n".join(lines[i::3]), ) for i in range(3)], "text string")
+    frame = licenses.examples(docs)
+    # nothing but DataFrame operations: no Python on the executors
+    plan = frame._jdf.queryExecution().toString()
+    assert not [n for n in ("Python", "MapInArrow", "Pandas") if n in plan]
+    want = {}
+    for line in lines:
+        family, seen = licenses.example(line.lower(), known, found)
+        if family is not None:
+            key = family, tuple(seen)
+            want[key] = want.get(key, 0) + 1
+    got = {}
+    for r in frame.collect():
+        key = r["family"], tuple(r["known"])
+        got[key] = got.get(key, 0) + r["n"]
+    assert got == want
+
+
+def test_texts_are_split_into_lines_once(spark, monkeypatch):
+    # one pass over the texts for the fit and the lines named, one for notices over several lines
+    splits, split = [], licenses.paragraphs
+    monkeypatch.setattr(licenses, "paragraphs", lambda docs: (splits.append(1), split(docs))[1])
+    text = "a plain line\n// Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."
+    found = licenses.scan(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_licenses"], r["families"]) for r in found] == [(2, "apache-2.0,mit"), (0, ""), (0, "")]
+    assert len(splits) == 1

@@ -9,9 +9,8 @@ it holds enough of the n-grams of a template of its family, and those that tell
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -197,7 +196,7 @@ def deciding() -> str:
         found = re.findall(WORDS, template.lower())
         marks = {*found, *(f"{a} {b}" for a, b in zip(found, found[1:]))}
         firsts.add(next(m for m in DECIDING[family] if m in marks))
-    return "|".join("[^a-z0-9]+".join(map(re.escape, m.split())) for m in sorted(firsts))
+    return from_word_starts("[^a-z0-9]+".join(map(re.escape, m.split())) for m in firsts)
 
 
 def joined(rows: DataFrame, scanner: Scanner) -> DataFrame:
@@ -238,20 +237,28 @@ def joined(rows: DataFrame, scanner: Scanner) -> DataFrame:
     return ends.filter("last > place")
 
 
-def whole_words(words: Iterable[str]) -> str:
-    """A pattern that a lower-cased text must match to hold one of the words, which are of letters, as :data:`WORDS` finds them.
+def from_word_starts(patterns: Iterable[str]) -> str:
+    """A pattern for any of ``patterns``, each of which begins with a letter, where a word of :data:`WORDS` can begin.
 
-    Words are sorted by their first letter and tried where a word can begin only.
+    They are sorted by that letter, and a place without one of these letters is passed over at once.
     """
     begins: dict[str, list[str]] = {}
-    for word in sorted(words):
-        begins.setdefault(word[0], []).append(word[1:])
-    tails = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in begins.items())
-    return f"(?<![a-z])(?:{tails})(?![a-z0-9])" if begins else "(?!)"
+    for pattern in sorted(patterns):
+        begins.setdefault(pattern[0], []).append(pattern[1:])
+    tails = "|".join(f"(?<={first})(?:{'|'.join(rest)})" for first, rest in begins.items())
+    return f"[{''.join(begins)}](?<![a-z].)(?:{tails})" if begins else "(?!)"
+
+
+def whole_words(words: Iterable[str]) -> str:
+    """A pattern that a lower-cased text must match to hold one of the words, which are of letters, as :data:`WORDS` finds them."""
+    return f"{from_word_starts(words)}(?![a-z0-9])"
 
 
 def example(line: str, known: list[Row], found: set[str]) -> tuple[str | None, list[str]]:
-    """The family a lower-cased line is an example of (None: of nothing), and its n-grams among ``found``."""
+    """The family a lower-cased line is an example of (None: of nothing), and its n-grams among ``found``.
+
+    The definition for one line, which :func:`examples` follows by columns.
+    """
     words = re.findall(WORDS, line)
     own = {*words, *map(" ".join, zip(words, words[1:]))}
     shared = [len(own.intersection(r["marks"])) for r in known]
@@ -266,32 +273,69 @@ def example(line: str, known: list[Row], found: set[str]) -> tuple[str | None, l
     return max(sure)[1] if sure else UNKNOWN if none else None, seen
 
 
-def examples(docs: DataFrame) -> DataFrame:
-    """Every different line of ``text`` that is not blank, by what the model can see of it: rows (``held``, ``family``, ``known``, ``n``).
+def told(docs: DataFrame) -> DataFrame:
+    """Every line of ``text`` that is not blank: rows (all other columns, ``place``, ``hash``, ``held``, ``line``).
 
-    ``n`` lines hold the n-grams ``known`` of the model's vocabulary and no others of it. A line that holds most n-grams of a template, and
-    those that decide, is an example of its family; one that holds fewer than half of any, or most but not those that decide, is an example
-    of none, the others, and pieces of a template such as the lines of a wrapped notice, are left out. A line without any n-gram of the
-    vocabulary is an example of none. Three in ten lines are held from fitting. Lines are told apart by a hash, so none is shuffled.
+    ``line`` is the line in lower case, or null if it holds no word by which the model could know an n-gram of it.
+    Three in ten lines are held from fitting, by their hash.
     """
-    known = templates(docs.sparkSession).collect()  # the templates, fixed values
-    found = set(vocabulary(known))
+    others = [c for c in docs.columns if c != "text"]
     lowered = F.lower("line")
-    lines = paragraphs(docs.select("text")).filter(F.trim("line") != "").select(
+    telling_words = {telling(m) for m in vocabulary(templates(docs.sparkSession).collect())}  # of the templates, fixed values
+    return paragraphs(docs).filter(F.trim("line") != "").select(
+        *others,
+        "place",
         F.xxhash64("line").alias("hash"),
         (F.pmod(F.xxhash64(F.lit(SEED), F.lit("held"), "line"), F.lit(10)) < 3).alias("held"),
-        F.when(lowered.rlike(whole_words({telling(m) for m in found})), lowered).alias("line"),
+        F.when(lowered.rlike(whole_words(telling_words)), lowered).alias("line"),
     )
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(UNKNOWN, []) if line is None else example(line, known, found) for line in batch.column("line").to_pylist()]
-            families, seen = pa.array([f for f, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("held"), families, seen], names=["hash", "held", "family", "known"])
 
-    described = lines.mapInArrow(describe, "hash long, held boolean, family string, known array<string>")
-    different = described.filter("family is not null").distinct()
-    return different.groupBy("held", "family", "known").agg(F.count("*").alias("n"))
+def examples(docs: DataFrame) -> DataFrame:
+    """Every different line of ``text`` that is not blank, by what the model can see of it: see :func:`examples_among`."""
+    return examples_among(told(docs.select("text")))
+
+
+def examples_among(lines: DataFrame) -> DataFrame:
+    """Every different line of those :func:`told`, by what the model can see of it: rows (``held``, ``family``, ``known``, ``n``).
+
+    ``n`` lines hold the n-grams ``known`` of the model's vocabulary and no others of it. A line that holds most n-grams of a template, and
+    those that decide, is an example of its family; one that holds fewer than half of any, or most but not those that decide, is an example
+    of none, the others, and pieces of a template such as the lines of a wrapped notice, are left out. A line without any n-gram of the
+    vocabulary is an example of none. Lines are told apart by a hash, so none is shuffled, and judged by their n-grams that stand in any template
+    or are barred, and the number of all: lines alike in these are judged once.
+    """
+    known = templates(lines.sparkSession).collect()  # the templates, fixed values
+    found = vocabulary(known)
+    heard = sorted({m for r in known for m in r["marks"]}.union(*BARRED.values()))
+    own = lines.select("hash", "held", F.coalesce(grams(F.col("line")), F.array().cast("array<string>")).alias("own"))
+    own = own.select("hash", "held", F.size("own").alias("size"), F.array_sort(F.filter("own", lambda m: m.isin(heard))).alias("heard"))
+    # written, so that what is asked of the families is not asked of every line
+    kinds = stored(own.distinct().groupBy("held", "size", "heard").agg(F.count("*").alias("n")))
+    texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    compared = F.transform(
+        F.array(*[
+            F.struct(
+                F.lit(r["family"]).alias("family"), texts(r["marks"]).alias("marks"), texts(BARRED.get(r["family"], ())).alias("barred"),
+                texts(m for m in DECIDING[r["family"]] if m in r["marks"]).alias("needed"),
+            )
+            for r in known
+        ]),
+        lambda r: F.struct(
+            likeness(r["marks"], F.col("heard")).alias("like"),
+            r["family"].alias("family"),
+            F.size(F.array_intersect(r["marks"], F.col("heard"))).alias("shared"),
+            ((F.size(F.array_except(r["needed"], F.col("heard"))) == 0) & ~F.arrays_overlap(r["barred"], F.col("heard"))).alias("decided"),
+        ),
+    )
+    kinds = kinds.select("*", F.filter("heard", lambda m: m.isin(found)).alias("known"), compared.alias("compared"))
+    sure = F.array_max(F.filter("compared", lambda c: c["decided"] & (c["like"] >= EXAMPLE)))
+    # near misses, like a template but of another family, are examples of none
+    most = F.array_max("compared.like")
+    apart = (most < NO_EXAMPLE) & (F.array_max("compared.shared") / F.greatest("size", F.lit(1)) < PIECE)
+    none = F.when((F.size("known") == 0) | (most >= EXAMPLE) | apart, F.lit(UNKNOWN))
+    judged = kinds.select("held", F.coalesce(sure["family"], none).alias("family"), "known", "n")
+    return judged.filter("family is not null").groupBy("held", "family", "known").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(known: list[Row]) -> list[str]:
@@ -300,16 +344,21 @@ def vocabulary(known: list[Row]) -> list[str]:
 
 
 def fit(docs: DataFrame) -> Scanner:
-    """Fit and calibrate on the templates and on all lines of ``docs`` (column ``text``).
+    """Fit and calibrate on the templates and on all lines of ``docs`` (column ``text``): see :func:`fit_lines`."""
+    return fit_lines(told(docs.select("text")))
 
-    Every line takes part, as :func:`examples` counts them. Each template is an example too, followed by every line of none.
+
+def fit_lines(lines: DataFrame) -> Scanner:
+    """Fit and calibrate on the templates and on all lines :func:`told`.
+
+    Every line takes part, as :func:`examples_among` counts them. Each template is an example too, followed by every line of none.
     Four kinds of examples are weighed, so that the many lines of none do not drown the few of a licence: lines of none with n-grams the model
     knows, those without, templates followed by lines, lines of a licence. Each kind weighs the same for each family, and those of none
     as much as all families. Three in ten lines calibrate the cut and are not fitted on: a line counts once there.
     """
-    spark = docs.sparkSession
+    spark = lines.sparkSession
     known = templates(spark)
-    seen = stored(examples(docs))
+    seen = stored(examples_among(lines))
     own = seen.filter(~F.col("held")).select(
         "family", F.when(F.col("family") != UNKNOWN, 0).when(F.size("known") > 0, 1).otherwise(2).alias("kind"), F.col("known").alias("grams"), "n"
     )
@@ -348,15 +397,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scanner = fit(rows.select("text"))
-    needed = "|".join(re.escape(a) for a in scanner.anchors) or "(?!)"
-    able = paragraphs(rows.filter(F.lower("text").rlike(needed))).filter(F.lower("line").rlike(needed))
-    named = scanner.named(able.withColumn("grams", grams(F.col("line")))).filter(F.col("family") != UNKNOWN)
+    # hashes of all lines, and the few lines the model could name: the texts are split into lines once
+    lines = stored(told(rows))
+    scanner = fit_lines(lines)
+    able = lines.filter(F.col("line").rlike(whole_words(scanner.anchors)))
+    named = scanner.named(able.select("id", "key", "place", grams(F.col("line")).alias("grams"))).filter(F.col("family") != UNKNOWN)
     sure = F.lit(False)
     for r in templates(spark).collect():  # the templates, fixed values
         own = F.when(F.col("family") == r["family"], likeness(F.array(*[F.lit(m) for m in r["marks"]]), F.col("grams")))
         sure = sure | ((own >= CONFIRMED) & decided(r["family"], r["marks"], F.col("grams")))
-    # rows alike in id and text give equal lines, which count once; texts themselves are neither stored nor shuffled
+    # rows alike in id and text give equal lines, which count once; texts themselves are not shuffled
     alone = stored(
         named.withColumn("confirmed", F.coalesce(sure, F.lit(False)))
         .select("id", "key", "place", F.col("place").alias("last"), "family", "chance", "confirmed").dropDuplicates(["id", "key", "place"])
